@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from palaver.llm import media, spm
+from palaver.llm import chat, media, mixing, spm
 
 QUERIES = {
+    "op4_chat_format": chat.op4_chat_format,
+    "op10_mix": mixing.op10_mix,
     "op2_media_columns": media.op2_media_columns,
     "op5_sentencepiece": spm.op5_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_format": chat.OP4_SQL}
