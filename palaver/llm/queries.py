@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from palaver.llm import chat, media, mixing, spm
+from palaver.llm import ann, chat, media, mixing, spm, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
+    "op9_ann": ann.op9_ann,
     "op4_chat_format": chat.op4_chat_format,
     "op10_mix": mixing.op10_mix,
     "op2_media_columns": media.op2_media_columns,
     "op5_sentencepiece": spm.op5_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op4_chat_format": chat.OP4_SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op4_chat_format": chat.OP4_SQL}
