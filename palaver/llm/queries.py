@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from palaver.llm import ann, chat, media, mixing, spm, warc
+from palaver.llm import ann, chat, media, mixing, quality, spm, toxicity, warc
 
 QUERIES = {
+    "op7_quality": quality.op7_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op3_warc": warc.op3_warc,
     "op9_ann": ann.op9_ann,
     "op4_chat_format": chat.op4_chat_format,
