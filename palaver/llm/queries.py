@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palaver.llm import ann, chat, media, mixing, quality, spm, toxicity, warc
+from palaver.llm import ann, chat, media, mixing, pii, quality, spm, toxicity, warc
 
 QUERIES = {
     "op7_quality": quality.op7_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_pii": pii.op8_pii,
     "op3_warc": warc.op3_warc,
     "op9_ann": ann.op9_ann,
     "op4_chat_format": chat.op4_chat_format,
