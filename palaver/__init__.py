@@ -1,0 +1 @@
+"""Conversation and transcript analytics on Spark."""
