@@ -69,7 +69,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     Speakers are the bits 0 to 2. An error frame has two speakers at once, a sign-up frame none.
     """
     seg = segments(spark, sf_dir)
-    mask = F.when(F.col("event_type") == "error", F.lit(3)).otherwise(F.coalesce(F.shiftleft(F.lit(1), F.col("speaker") - 1), F.lit(0)))
+    mask = F.when(F.col("event_type") == "error", F.lit(3)).otherwise(F.coalesce(F.call_function("shiftleft", F.lit(1), F.col("speaker") - 1), F.lit(0)))
     return seg.select(F.col("session_id").alias("recording"), (F.col("pos") - 1).alias("frame"), mask.cast("int").alias("mask"), F.nullif((F.col("user_id") % 4).cast("int"), F.lit(0)).alias("label"))
 
 
