@@ -177,8 +177,13 @@ def _rows(frame: pd.DataFrame) -> Iterable[dict]:
         yield {k: _plain(v) for k, v in r.items()}
 
 
-def _run(fold, frame: pd.DataFrame, adapt, order: list[str], key: str, session: str, columns: list[str]) -> pd.DataFrame:
+def _whole(rows: DataFrame) -> list[str]:
+    return [f.name for f in rows.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")]
+
+
+def _run(fold, frame: pd.DataFrame, adapt, order: list[str], key: str, session: str, columns: list[str], whole: list[str]) -> pd.DataFrame:
     out = []
+    frame = frame.astype(dict.fromkeys(whole, "Int64"))  # with nulls they come as floats
     for row in _rows(frame.sort_values(order, kind="stable")):
         out += [{key: session} | m for m in fold.step(adapt(fold, row) if adapt else row)]
     made = pd.DataFrame(out, columns=[key, *columns]).astype(object)
@@ -191,17 +196,17 @@ def _columns(fold) -> list[str]:
 
 def in_batch(rows: DataFrame, fold, order: list[str], adapt=None, key: str = "session_id") -> DataFrame:
     """Runs a fresh copy of ``fold`` over each session; ``adapt(fold, row)`` makes the fold's row."""
-    start, kind, columns = json.dumps(asdict(fold)), type(fold), _columns(fold)
+    start, kind, columns, whole = json.dumps(asdict(fold)), type(fold), _columns(fold), _whole(rows)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _run(kind(**json.loads(start)), frame, adapt, order, key, frame[key].iloc[0], columns)
+        return _run(kind(**json.loads(start)), frame, adapt, order, key, frame[key].iloc[0], columns, whole)
 
     return rows.groupBy(key).applyInPandas(run, f"{key} string, {fold.SCHEMA}")
 
 
 def in_stream(rows: DataFrame, fold, order: list[str], adapt=None, key: str = "session_id") -> DataFrame:
     """The same in a stream: state per session is kept between batches, rows of a batch are put in order."""
-    start, kind, columns = json.dumps(asdict(fold)), type(fold), _columns(fold)
+    start, kind, columns, whole = json.dumps(asdict(fold)), type(fold), _columns(fold), _whole(rows)
 
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -210,7 +215,7 @@ def in_stream(rows: DataFrame, fold, order: list[str], adapt=None, key: str = "s
         def handleInputRows(self, key_, batches, timers):
             state = kind(**json.loads(self.state.get()[0] if self.state.exists() else start))
             frame = pd.concat(list(batches), ignore_index=True)
-            out = _run(state, frame, adapt, order, key, key_[0], columns)
+            out = _run(state, frame, adapt, order, key, key_[0], columns, whole)
             self.state.update((json.dumps(asdict(state)),))
             yield out
 
