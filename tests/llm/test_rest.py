@@ -1,0 +1,321 @@
+import hashlib
+import math
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from palaver.llm import ann, chat, media, mixing, pii, quality, spm, toxicity, warc
+
+SHA = lambda b: hashlib.sha256(b).hexdigest()
+TEXTS = ["", None, "one", "Grüße  aus\n\nKöln 😀 \t x", " lead and trail ", "▁▁ a▁b", "a" * 5000, "日本語 текст", "\u0000 nul"]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return spark.createDataFrame([(i, t, "z") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
+
+
+# --- media
+
+
+def test_media_round_trip(spark, texts):
+    rows = media.digests(media.write(texts, "doc_id", "text"), "doc_id").collect()
+    for r in rows:
+        data = (TEXTS[r["doc_id"]] or "").encode()
+        full = data + b" " * (-len(data) % 192 if data else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(full), SHA(full))
+    probed = media.probe(media.write(texts, "doc_id", "text"), "doc_id").collect()
+    assert all(p["codec"] == "raw " and p["error"] is None and p["keyframes"][0]["length"] == 192 for p in probed)
+
+
+def test_media_ranges_and_damage():
+    data = bytes(range(256)) * 96
+    whole = media.file_of(data[: 192 * 40])
+    (t,) = media.tracks(whole)
+    assert len(t["sync"]) == 3 and t["duration"] == 192 * 40 and media.ranges(t) == [(len(whole) - 192 * 40, len(whole))]
+    assert media.payload(whole) == data[: 192 * 40]
+    for cut in (10, 60, 300, len(whole) - 1):
+        with pytest.raises(media.Malformed):
+            media.payload(whole[:cut]) or (_ for _ in ()).throw(media.Malformed("nothing left"))
+
+
+def test_media_probe_of_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, b""), (3, b"\0\0\0\x10ftyp"), (4, b"\0\0\0\x08free")], "id long, media binary")
+    assert {r["id"]: r["error"] is not None for r in media.probe(df, "id").collect()} == {1: True, 2: True, 3: True, 4: True}
+
+
+# --- WARC
+
+
+def test_warc(spark):
+    big, small = "<p>é" + "x" * 200, "<p>tiny"
+    rows = [(5, "http://a/ b", big), (2, None, big), (9, "u", big), (3, "u", small), (4, "u", small), (7, "u", None), (None, "n", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    index = warc.write(df)
+    got = sorted((tuple(r)[0:1] + (r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], r["payload"]) for r in warc.read(index).collect()), key=str)
+    b, s = big.encode(), small.encode()
+    want = [(5, "revisit", 2, len(b), SHA(b), None), (2, "response", None, len(b), SHA(b), b), (9, "revisit", 2, len(b), SHA(b), None), (3, "response", None, len(s), SHA(s), s), (4, "response", None, len(s), SHA(s), s), (7, "response", None, 0, SHA(b""), b""), (None, "response", None, len(b), SHA(b), b)]
+    assert [tuple(bytes(x) if isinstance(x, bytearray) else x for x in g) for g in got] == sorted(want, key=str)
+    assert {r["url"] for r in warc.read(index.filter("page_id = 5")).collect()} == {"http://a/%20b"}
+    assert warc.write(df.filter("false")).count() == 0
+
+
+def test_coalesce():
+    assert warc.coalesce([(0, 10), (10, 5), (100, 5)], gap=20, most=50) == [(0, 2, 0, 15), (2, 3, 100, 105)]
+    assert warc.coalesce([]) == []
+    assert len(warc.coalesce([(0, 40), (40, 40)], gap=20, most=50)) == 2
+
+
+# --- chat
+
+
+def test_chat_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", "a \\ b \\< <|turn|> <|", "<|end|><s>", None, "", "\\", "[INST", "é\n<"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)] + [(2, None, None, "x"), (None, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1))
+    made = chat.format_conversations(df)
+    back = {r["conv_id"]: r for r in made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert [(x["role"], x["text"]) for x in back[1]["t"]] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(said)]
+    assert back[1]["loss"] == "".join(t or "" for i, t in enumerate(said) if i % 2)
+    assert [(x["role"], x["text"]) for x in back[2]["t"]] == [("", "x")] and back[None]["loss"] == "y"
+    body = back[1]["formatted"]
+    assert body.count("<|turn|>") == len(said) and "</s>" not in body and "[INST]" not in body
+    assert chat.format_conversations(df.filter("false")).count() == 0
+
+
+def test_chat_parts(spark):
+    parts = f"from_json('[{{\"type\":\"text\",\"text\":\"see <|\"}},{{\"type\":\"image\",\"ref\":\"a.png\",\"width\":56,\"height\":30}},{{\"type\":\"audio\",\"ref\":\"b.wav\",\"seconds\":2.0}},{{\"type\":\"document\",\"ref\":\"c.pdf\",\"pages\":3}},{{\"type\":\"image\"}}]', '{chat.PARTS}')"
+    df = spark.sql(f"SELECT 1L AS conv_id, 1L AS turn, 'user' AS role, 'unused' AS text, {parts} AS parts")
+    r = chat.format_conversations(df, parts="parts").first()
+    assert r["formatted"] == "<|turn|>user<|body|>see <\\|<|image:2|><|audio:3|><|document:4|><|image:5|><|end|>"
+    assert [(a["part"], a["type"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(2, "image", "a.png", 4), (3, "audio", "b.wav", 25), (4, "document", "c.pdf", 768), (5, "image", None, 1)]
+    assert r["expanded_tokens"] == 798
+
+
+# --- SentencePiece
+
+
+@pytest.fixture(scope="module")
+def codec():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        blob = f.read()
+    return spm.Codec(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+
+
+def test_spm_ids(spark, texts, codec):
+    own, lib = codec
+    for t, (ids, said) in zip(TEXTS, own.encode([t or "" for t in TEXTS]), strict=True):
+        assert ids == lib.encode(t or "") and said == ",".join(map(str, ids)), t
+        begins, ends = own.spans(t or "", ids)
+        assert (begins[1:] == ends[:-1]).all() and (not ids or (begins[0], ends[-1]) == (0, len((t or "").encode())))
+        assert own.decode(ids) == lib.decode(ids)
+    rows = spm.encode(texts).collect()
+    assert all(r["ids"] == lib.encode(TEXTS[r["doc_id"]] or "") and len(r["begins"]) == r["n_tokens"] for r in rows)
+
+
+def test_spm_compiled_map():
+    """A small map built by hand: "ab" to "X", "a" to "yy"; the longest prefix wins."""
+    pool = b"X\0yy\0"
+    units = [0] * 1024
+    root = 256
+    units[0] = root << 10
+
+    def link(node, byte, to, leaf):
+        units[node ^ byte] = (to << 10) | (256 if leaf else 0) | byte
+
+    a, b = 512, 768
+    link(root, ord("a"), a ^ (root ^ ord("a")), True)
+    units[a] = 0x80000000 | 2  # value of "a"
+    link(a, ord("b"), b ^ (a ^ ord("b")), True)
+    units[b] = 0x80000000 | 0  # value of "ab"
+    blob = (4 * len(units)).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + pool
+    n = spm.Normalizer(blob, dummy_prefix=False, squeeze=True)
+    out, source = n.aligned("  abca  b ")
+    assert out.decode() == "Xcyy▁b" and source.tolist() == [2, 4, 5, 5, 6, 6, 6, 8, 9]
+
+
+@pytest.mark.skipif(not hasattr(sentencepiece, "SentencePieceNormalizer"), reason="no normaliser in this version")
+def test_spm_rules_of_the_library():
+    lib = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    blob = lib.serialized_model_proto()
+    spec = next(dict(spm._fields(v)) for n, v in spm._fields(blob) if n == 3)
+    own = spm.Normalizer(spec[2], dummy_prefix=False, squeeze=bool(spec.get(4, 1)), escape=False)
+    for t in ("ﬁne Ａ１ ㍿", "x ​ y", "é ½ ™", "plain"):
+        assert own.aligned(t)[0].decode() == lib.normalize(t)
+
+
+# --- classifiers
+
+
+def test_quality_rules():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(quality.STATISTICS)))
+    y = ((x[:, 2] < 0.3) & (x[:, 5] > 0.2)) | (x[:, 7] > 0.9)
+    m = quality.fit(x, y)
+    test = rng.random((1000, x.shape[1]))
+    truth = ((test[:, 2] < 0.3) & (test[:, 5] > 0.2)) | (test[:, 7] > 0.9)
+    assert ((m.score(test) >= 0.5) == truth).mean() > 0.95 and len(m.rules) < 200
+
+
+def test_quality_column_is_the_model(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = quality.with_statistics(docs.limit(50)).withColumn("s", model.column()).toPandas()
+    assert np.allclose(rows["s"], model.score(rows[[f"q_{c}" for c in quality.STATISTICS]].to_numpy()))
+
+
+def test_quality_edges(spark):
+    df = spark.createDataFrame([(1, None, "a", 1.0), (2, "", "b", 2.0), (3, "x " * 50_000, "c", 3.0)], "doc_id long, text string, q_words string, other double")
+    rows = quality.with_statistics(df, prefix="st_")
+    assert rows.count() == 3 and rows.filter("doc_id < 3 AND st_words = 0").count() == 2
+    assert quality.fit(np.zeros((0, 18)), np.zeros(0)).score(np.zeros((1, 18)))[0] > 0.99
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(df, none).rules == []
+
+
+def test_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    q = quality.op7_quality(spark, sf).join(labels, "doc_id").toPandas()
+    held = q[q["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.9 and q["score"].between(0, 1).all()
+    t = toxicity.op6_toxicity(spark, sf).join(labels.withColumnRenamed("toxic", "y"), "doc_id").toPandas()
+    assert (t[t["y"] == 0]["toxic"] == 0).mean() > 0.97 and t["expected_severity"].between(0, 2).all()
+
+
+def test_ordinal():
+    rng = np.random.default_rng(1)
+    x = (rng.random((2000, 6)) < 0.2).astype(float)
+    grade = np.minimum(x[:, 0] + x[:, 1], 2).astype(int)
+    rows, columns = np.nonzero(x)
+    w, cuts = toxicity.fit_ordinal(rows, columns, x[rows, columns], grade, 6, lasso=1e-3)
+    assert cuts[0] < cuts[1] and min(w[:2]) > 5 * max(w[2:]) and (w >= 0).all()
+    z = x @ w
+    assert ((z[:, None] > cuts).sum(1) == grade).mean() > 0.98
+    assert toxicity.fit(["a", "b"], np.array([0, 0])).severity("a")[0] < 1e-6
+    assert toxicity.words(None) == set() and toxicity.words("Idiot!! idiot") == {"idiot"}
+
+
+# --- PII
+
+
+def test_pii(spark):
+    said = "Mail Bob.Lee@Example.com or bob.lee@example.COM, call +1 (017) 555-7713; card 4539 1488 0343 6467, ip 10.0.0.7. Frau Anna Müller met Mr Zorbak. Version 2.0, 1999-2004."
+    df = spark.createDataFrame([(1, said, "p"), (2, "nothing here 123", "p"), (3, None, "p"), (4, "", "p"), (5, said, "p")], "doc_id long, text string, pii string")
+    out = {r[0]: r for r in pii.replace(df.select("doc_id", "text"), tweak=0).collect()}
+    new = out[1]["text"]
+    kinds = [e["kind"] for e in out[1]["pii"]]
+    assert kinds == ["email", "email", "phone", "card", "ip", "namef", "namem"]
+    for secret in ("Bob.Lee", "555-7713", "4539", "10.0.0.7", "Müller", "Zorbak"):
+        assert secret not in new
+    a, b = (e["surrogate"] for e in out[1]["pii"][:2])
+    assert a.lower() == b.lower() and a != b  # one person, two spellings
+    assert all(new[e["begin"] : e["end"]] == e["surrogate"] for e in out[1]["pii"])
+    card = out[1]["pii"][3]["surrogate"]
+    assert pii._luhn(card) and [len(x) for x in card.split(" ")] == [4, 4, 4, 4]
+    given = out[1]["pii"][5]["surrogate"].split(" ")[0]
+    assert given in pii.NAMES["latin", "f"] and "Version 2.0, 1999-2004." in new
+    assert out[2]["text"] == "nothing here 123" and out[3]["text"] is None and out[4]["text"] == "" and out[5]["text"] == new
+    assert pii.collisions(pii.entities(df.select("text"))).count() == 0 and pii.replace(df.filter("false"), tweak=0).count() == 0
+
+
+def test_pii_one_to_one():
+    by = pii.Permuter()
+    assert len({by.text(f"{i:04d}", "x") for i in range(10_000)}) == 10_000
+    assert sorted(by.places([i], [24], "n")[0] for i in range(24)) == list(range(24))
+    known = {pii.Surrogates().form("namef", n.lower()) for n in pii.NAMES["latin", "f"]}
+    assert known == {n.lower() for n in pii.NAMES["latin", "f"]}
+    good = [f"{i:012d}" for i in range(300)]
+    assert all(pii._luhn(pii.Surrogates().form("card", c)) == pii._luhn(c) for c in good)
+
+
+# --- nearest neighbours
+
+
+def test_ann_recall(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1500, 24)) * rng.random((1500, 1)) * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [None] * 24), (2004, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = ann.search(df, df.filter("vec_id % 50 = 0")).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -math.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(g["vec_id"]))
+        assert np.allclose(g.sort_values("rank")["score"], s[g.sort_values("rank")["vec_id"]]) and list(g.sort_values("rank")["rank"]) == list(range(1, 21))
+    assert hit / (20 * 30) >= 0.9 and got["query_id"].nunique() == 30 and got["vec_id"].max() < 2000
+
+
+def test_ann_edges(spark):
+    schema = "vec_id long, embedding array<float>"
+    empty = spark.createDataFrame([], schema)
+    assert ann.search(empty, empty).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0])], schema)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(few, few.filter("vec_id % 20 = 0")).collect()}
+    assert got == {(0, 1): (3, 1.0), (0, 2): (20, 1.0), (0, 3): (4, 0.0), (20, 1): (0, 1.0), (20, 2): (3, 1.0), (20, 3): (4, 0.0)}
+
+
+# --- mixing
+
+
+def test_pivot_keeps_words():
+    rng = np.random.default_rng(4)
+    p, size = rng.random(500), np.sort(rng.integers(1, 3000, 500))[::-1]
+    out, at = mixing.pivot(p, size, rng.random(500))
+    assert abs((out * size).sum() - (p * size).sum()) < 1e-6 * size.sum()
+    assert set(np.delete(out, at if at >= 0 else []).tolist()) <= {0.0, 1.0}
+    mean = np.mean([mixing.pivot(np.full(6, 0.3), np.array([9, 7, 5, 3, 2, 1]), rng.random(6))[0] for _ in range(4000)], 0)
+    assert np.allclose(mean, 0.3, atol=0.04)
+
+
+def water(sizes, weights=(5, 2, 1), most=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    capped = set()
+    while True:
+        rest = sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        total = sum(w[s] for s in names if s not in capped)
+        out = {s: most * sizes[s] if s in capped else rest * w[s] / total for s in names}
+        new = {s for s in names if out[s] > most * sizes[s] + 1e-9}
+        if not new:
+            return out
+        capped |= new
+
+
+def test_mix(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " w" * int(rng.integers(0, 60)), ("a", "B", None, "é", "tiny")[min(4, int(rng.integers(0, 40)) // 9)]) for i in range(3000)] + [(3000, None, "a"), (None, "x y", "B"), (7, "same", "a"), (7, "same", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    got = mixing.mix(df).toPandas()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = {("n" if s is None else f"s{s}"): v for s, v in water(sizes).items()}
+    assert len(got) == len(rows) and (got["copies"] <= 3).all() and (got["taken"] == got["copies"] * got["size"]).all()
+    for k, g in got.groupby("k"):
+        assert abs(g["target"].iloc[0] - want[k]) < 1e-6 and abs(g["taken"].sum() - want[k]) <= 60
+    again = mixing.mix(df.repartition(7)).toPandas()
+    order = ["doc_id", "k", "size", "copies"]
+    assert got.sort_values(order)["copies"].tolist() == again.sort_values(order)["copies"].tolist()
+    assert mixing.mix(df.filter("false")).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        docs = corpus_pipeline.common.materialize(out, name)
+        assert docs.count() > 0
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, small)
+    assert tokens.count() == docs.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "pii", "mix", "tokens"]
