@@ -10,14 +10,15 @@ stay out, unless a document consists of little else. Sketches that hold whole se
 overlap that the threshold asks for; of others ``SHARED`` of the values are asked for, which pairs at the
 threshold miss with a chance below 1e-8.
 
-*Stars, then the rest.* In each list the smallest id is the leader and meets all others. Documents
-linked to a leader take its label. Then the documents of a list whose label is not the list's most
-frequent one meet all those with another label, so that no link between parts that are not yet known
-to belong together is left out. Pairs within a part are never made.
+*Stars, then the rest.* In each list the ``LEADERS`` smallest ids are leaders and meet all others. The
+links found label the documents by component. Then the documents of a list whose label is not the
+list's most frequent one meet all those with another label, so that no link between parts that are not
+yet known to belong together is left out. Pairs within a part are never made, and a pair that shares
+several lists is made in the first of them.
 
 *Filter and check.* A pair's union sketch, the smallest values of both sketches together, estimates the
-overlap; pairs below ``SHARED`` go. The others are checked on their full sets. Components come from
-the links by rounds of large and small stars.
+overlap; pairs below ``LIKELY`` go (pairs at the threshold with a chance of about 1e-7). The others are
+checked on their full sets. Components come from the links by rounds of large and small stars.
 
 Defined results: null and empty texts have no shingles, link to nothing and are classes of their own;
 rows with a null id are classes of their own with a null id; rows that repeat an id and a text are one
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import common
 
-SHINGLE, SKETCH, SHARED = 3, 64, 36
+SHINGLE, SKETCH, SHARED, LIKELY, LEADERS = 3, 64, 36, 38, 8
 #: Link when PARTS * intersection >= LEAST * union.
 PARTS, LEAST = 100, 85
 MOST_ROUNDS = 40
@@ -100,15 +101,19 @@ def _two(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, shared: int, shingle: int, name: str) -> DataFrame:
-    """Of distinct pairs (a < b) of representatives those that are linked, by sketch and then by full set."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.least("n_a", "n_b") * PARTS) >= F.greatest("n_a", "n_b") * LEAST)
+def near_by_sketch(size: int) -> Column:
+    """Whether a pair (n_a, s_a, n_b, s_b) may be linked: exact where both sketches hold whole sets."""
+    fits = F.least("n_a", "n_b") * PARTS >= F.greatest("n_a", "n_b") * LEAST
+    inter = F.array_intersect("s_a", "s_b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, size)
-    common_ = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    whole = F.greatest("n_a", "n_b") <= size
-    near = F.when(whole, F.size(F.array_intersect("s_a", "s_b")) * PARTS >= F.size(F.array_union("s_a", "s_b")) * LEAST).otherwise(common_ * size >= F.size(union) * shared)
-    likely = common.materialize(both.filter(near).select("a", "b", whole.alias("known")), f"{name}-likely")
+    exact = F.size(inter) * PARTS >= (F.size("s_a") + F.size("s_b") - F.size(inter)) * LEAST
+    likely = (F.size(inter) >= LIKELY) & (F.size(F.array_intersect(inter, union)) >= LIKELY)
+    return fits & F.when(F.greatest("n_a", "n_b") <= size, exact).otherwise(likely)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """Of pairs (a, b, known) those that are linked: known ones, and others by their full sets."""
+    likely = common.materialize(pairs, f"{name}-likely")
     rest = likely.filter(~F.col("known")).select("a", "b")
     ids = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
     sets = common.materialize(full_sets(docs.join(ids, "id", "left_semi"), shingle).dropDuplicates(["id"]), f"{name}-sets")
@@ -144,7 +149,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("binary").alias("data"))
     own = common.materialize(sketches(df, id_col, text_col, shingle, size), "sketches")
     classes = own.filter(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    members = common.materialize(own.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    members = common.materialize(own.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "members")
     firsts = members.filter("id = rep AND n > 0").select("id").distinct()
     reps = common.materialize(own.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "representatives")
 
@@ -157,21 +162,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = shared_values.withColumns({"place": place + alone, "most": prefix_length(F.col("n"), size, shared)}).filter("place <= most").select("value", "id", "n")
     lists = common.materialize(lists, "lists")
 
-    leaders = lists.groupBy("value").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("value", "a")
-    stars = lists.join(leaders, "value").filter("a < id").select("a", F.col("id").alias("b")).distinct()
-    first = verified(stars, reps, docs, size, shared, shingle, "stars")
-
-    led = first.groupBy("b").agg(F.min("a").alias("l"))
-    label = led.join(led.select(F.col("b").alias("l"), F.col("l").alias("l2")), "l", "left").select(F.col("b").alias("id"), F.coalesce("l2", "l").alias("label"))
-    label = common.materialize(label, "labels")
-    marked = common.materialize(lists.join(label, "id", "left").select("value", "id", "n", F.coalesce("label", "id").alias("label")), "marked")
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    known = (F.greatest("n_a", "n_b") <= size).alias("known")
+    first_ids = F.row_number().over(Window.partitionBy("value").orderBy("id"))
+    leaders = lists.withColumn("r", first_ids).filter(F.col("r") <= LEADERS).select("value", F.col("id").alias("a"), F.col("n").alias("n_a"))
+    fits = (F.col("a") < F.col("id")) & (F.least("n", "n_a") * PARTS >= F.greatest("n", "n_a") * LEAST)
+    stars = common.materialize(lists.join(leaders, "value").filter(fits).select("a", F.col("id").alias("b")).distinct(), "stars")
+    first = verified(stars.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size)).select("a", "b", known), docs, shingle, "stars")
+
+    label = components(first).withColumnRenamed("component", "label")
+    marked = common.materialize(lists.join(label, "id", "left").select("value", "id", F.coalesce("label", "id").alias("label")), "marked")
     parts = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
     parts = parts.filter("k > 1").select("value", (-F.col("top.m")).alias("main"))
-    split = common.materialize(marked.join(parts, "value"), "split")
-    stray = split.filter("label <> main").select("value", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-    fits = (F.least("n", "n_p") * PARTS >= F.greatest("n", "n_p") * LEAST) & (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("p") < F.col("id")))
-    rest = split.join(stray, "value").filter(fits).select(*_two("p", "id")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = verified(common.materialize(rest, "rest"), reps, docs, size, shared, shingle, "rest")
+    prefix = lists.groupBy("id").agg(F.array_sort(F.collect_list("value")).alias("pre"))
+    split = common.materialize(marked.join(parts, "value").join(prefix, "id").join(reps, "id"), "split")
+    stray = split.filter("label <> main").select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("s_a"), F.col("pre").alias("pre_a"))
+    other = split.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), "label", F.col("sketch").alias("s_b"), "pre", "main")
+    apart = (F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("b")))
+    once = F.array_min(F.array_intersect("pre", "pre_a")) == F.col("value")
+    fits = F.least("n_a", "n_b") * PARTS >= F.greatest("n_a", "n_b") * LEAST
+    rest = other.join(stray, "value").filter(apart & fits & once & near_by_sketch(size)).select(*_two("a", "b"), known)
+    second = verified(rest.join(stars, ["a", "b"], "left_anti"), docs, shingle, "rest")
 
     groups = components(first.union(second))
     out = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
