@@ -144,7 +144,7 @@ def test_spm_rules_of_the_library():
     lib = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
     blob = lib.serialized_model_proto()
     spec = next(dict(spm._fields(v)) for n, v in spm._fields(blob) if n == 3)
-    own = spm.Normalizer(spec[2], dummy_prefix=False, squeeze=bool(spec.get(4, 1)), escape=False)
+    own = spm.Normalizer(spec[2], *(bool(spec.get(i, 1)) for i in (3, 4, 5)))
     for t in ("ﬁne Ａ１ ㍿", "x ​ y", "é ½ ™", "plain"):
         assert own.aligned(t)[0].decode() == lib.normalize(t)
 
