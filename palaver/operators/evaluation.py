@@ -233,3 +233,19 @@ def splice(parts: DataFrame, slice_frames: int) -> DataFrame:
     grid = grid.select("recording", "shift", (F.col("s") * slice_frames + F.col("i")).alias("frame"), (F.col("place") * slice_frames + F.col("i")).cast("bigint").alias("out_frame"))
     out = grid.join(parts.select("recording", "frame", "mask"), ["recording", "frame"], "left")
     return out.select("out_frame", F.coalesce(F.call_function("shiftleft", F.col("mask"), F.col("shift")), F.lit(0)).alias("mask"))
+
+
+def first_window(chunks: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per chunk (recording, chunk, until) the first window (ord, lo, hi) that ends at or after it and
+    began before its end, and how long after the chunk it ends; null without one.
+
+    Windows slide, so the first one to end late enough decides: a union and a running window.
+    """
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    points = chunks.select("recording", F.col("until").alias("at"), F.lit(0).alias("k"), "chunk", none("struct<ord:bigint,lo:bigint,hi:bigint>", "w"))
+    ends = windows.select("recording", F.col("hi").cast("bigint").alias("at"), F.lit(1).alias("k"), none("bigint", "chunk"), F.struct(F.col("ord").cast("bigint").alias("ord"), F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")).alias("w"))
+    # from the end backwards, the last window seen is the first one that ends at or after this point
+    order = Window.partitionBy("recording").orderBy(F.desc("at"), F.desc("k"), F.desc("w.ord")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = points.unionByName(ends).withColumn("f", F.last("w", ignorenulls=True).over(order)).filter("k = 0")
+    fits = F.col("f.lo") < F.col("at")
+    return seen.select("recording", "chunk", F.when(fits, F.col("f.ord")).alias("ord"), F.when(fits, F.col("f.hi") - F.col("at")).alias("lag"))

@@ -159,3 +159,13 @@ def splice_recordings(spark, sf_dir):
     names = frames.select("recording").distinct().orderBy("recording").limit(2)
     ord_ = names.join(names.select(F.col("recording").alias("other")), F.col("other") < F.col("recording"), "left").groupBy("recording").agg(F.count("other").alias("ord"))
     return O.splice(frames.join(ord_, "recording").withColumn("speakers", F.lit(3)), 50)
+
+
+@query(f"""WITH {A.FRAME_SQL}, c AS (SELECT DISTINCT recording, frame // {PER_CHUNK} AS chunk, (frame // {PER_CHUNK} + 1) * {PER_CHUNK} AS until FROM single),
+w AS (SELECT recording, frame AS ord, frame AS lo, frame + 7 AS hi FROM frames_c WHERE frame % 3 = 0 AND label IS NOT NULL)
+SELECT c.recording, c.chunk, min(w.ord) AS ord, min(w.hi) - any_value(c.until) AS lag FROM c LEFT JOIN w ON w.recording = c.recording AND w.hi >= c.until AND w.lo < c.until GROUP BY 1, 2""")
+def window_lag(spark, sf_dir):
+    frames = A.frames(spark, sf_dir)
+    chunks = O.annotated(frames, PER_CHUNK).withColumn("until", (F.col("chunk") + 1) * PER_CHUNK)
+    windows = frames.filter("frame % 3 = 0 AND label IS NOT NULL").select("recording", F.col("frame").alias("ord"), F.col("frame").alias("lo"), (F.col("frame") + 7).alias("hi"))
+    return O.first_window(chunks, windows)

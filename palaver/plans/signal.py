@@ -264,3 +264,20 @@ def path_keys(spark, sf_dir):
 def sources_seen(spark, sf_dir):
     return A.segments(spark, sf_dir).groupBy("session_id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
+
+
+@query("""WITH n AS (SELECT DISTINCT source || '-' || lang || CASE WHEN doc_id % 4 = 0 THEN '.onnx' ELSE '.bin' END AS name FROM documents)
+SELECT name, name LIKE 'src1%' AS known FROM n WHERE name LIKE '%.onnx' AND name NOT IN (SELECT 'src' || CAST(n_nationkey AS VARCHAR) || '-en.onnx' FROM nation WHERE n_nationkey < 3)""")
+def candidate_models(spark, sf_dir):
+    """Model files but those of a list, told apart by whether their family is known."""
+    docs = A.table(spark, sf_dir, "documents")
+    names = docs.select(F.concat("source", F.lit("-"), "lang", F.when(F.col("doc_id") % 4 == 0, ".onnx").otherwise(".bin")).alias("name")).distinct()
+    others = A.table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string"), F.lit("-en.onnx")).alias("name"))
+    return names.filter(F.col("name").endswith(".onnx")).join(others, "name", "left_anti").withColumn("known", F.col("name").startswith("src1"))
+
+
+@query("SELECT event_id, event_type = 'error' OR value >= 100 AS starved FROM events")
+def starved_sources(spark, sf_dir):
+    """A source with an error, or silent for five seconds, with the value as twentieths of a second."""
+    error = F.when(F.col("event_type") == "error", F.lit("lost"))
+    return A.table(spark, sf_dir, "events").select("event_id", D.starved(F.col("value") / 20, error).alias("starved"))
