@@ -11,10 +11,11 @@ overlap that the threshold asks for; of others ``SHARED`` of the values are aske
 threshold miss with a chance below 1e-8.
 
 *Stars, then the rest.* In each list the ``LEADERS`` smallest ids are leaders and meet all others. The
-links found label the documents by component. Then the documents of a list whose label is not the
-list's most frequent one meet all those with another label, so that no link between parts that are not
-yet known to belong together is left out. Pairs within a part are never made, and a pair that shares
-several lists is made in the first of them.
+links found label the documents by component. Documents of lists with several labels are listed again,
+now by their full sets: by rarity among themselves, and only as many values as a link at the threshold
+must share one of, which leaves out most that have no partner. In these lists the documents whose label
+is not the list's most frequent one meet all those with another label, so that no link between parts
+that are not yet known to belong together is left out. Pairs within a part are never made.
 
 *Filter and check.* A pair's union sketch, the smallest values of both sketches together, estimates the
 overlap; pairs below ``LIKELY`` go (pairs at the threshold with a chance of about 1e-7). The others are
@@ -41,6 +42,8 @@ SHINGLE, SKETCH, SHARED, LIKELY, LEADERS = 3, 64, 36, 38, 8
 #: Link when PARTS * intersection >= LEAST * union.
 PARTS, LEAST = 100, 85
 MOST_ROUNDS = 40
+#: Ids sent to all executors at most (8 bytes each).
+BROADCAST_IDS = 500_000
 
 
 def shingles(data: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -111,17 +114,39 @@ def near_by_sketch(size: int) -> Column:
     return fits & F.when(F.greatest("n_a", "n_b") <= size, exact).otherwise(likely)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
-    """Of pairs (a, b, known) those that are linked: known ones, and others by their full sets."""
-    likely = common.materialize(pairs, f"{name}-likely")
-    rest = likely.filter(~F.col("known")).select("a", "b")
-    ids = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
-    sets = common.materialize(full_sets(docs.join(ids, "id", "left_semi"), shingle).dropDuplicates(["id"]), f"{name}-sets")
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(id, items) for some documents. A list of up to ``BROADCAST_IDS`` ids goes to the scan; beyond that
+    the texts are shuffled."""
+    ids = common.materialize(ids.distinct(), f"{name}-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return common.materialize(full_sets(docs.join(ids, "id", "left_semi"), shingle).dropDuplicates(["id"]), f"{name}-sets")
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their full sets link."""
     items = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"i_{x}"))
-    checked = rest.join(items("a"), "a").join(items("b"), "b")
+    both = pairs.join(items("a"), "a").join(items("b"), "b")
     inter = F.size(F.array_intersect("i_a", "i_b"))
-    linked = checked.filter(inter * PARTS >= (F.size("i_a") + F.size("i_b") - inter) * LEAST).select("a", "b")
-    return common.materialize(linked.union(likely.filter("known").select("a", "b")), f"{name}-links")
+    return both.filter(inter * PARTS >= (F.size("i_a") + F.size("i_b") - inter) * LEAST).select("a", "b")
+
+
+def lists_of(entries: DataFrame, kept: Column, most: Column) -> DataFrame:
+    """Inverted lists (value, id, n) of entries (id, n, value): of the ``kept`` values of a document the
+    ``most`` rarest, without those that no other document has."""
+    often = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "value"))
+    alone = kept - F.count(F.lit(1)).over(Window.partitionBy("id"))  # values of one document come first
+    return entries.join(often, "value").withColumns({"place": place + alone, "most": most}).filter("place <= most").select("value", "id", "n")
+
+
+def across(marked: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of documents with different labels that share a list (value, id, n, label)."""
+    parts = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
+    split = common.materialize(marked.join(parts.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "value"), "split")
+    stray = split.filter("label <> main").select("value", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
+    apart = (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("p") < F.col("id")))
+    fits = F.least("n", "n_p") * PARTS >= F.greatest("n", "n_p") * LEAST
+    return split.join(stray, "value").filter(apart & fits).select(*_two("p", "id")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,35 +179,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = common.materialize(own.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "representatives")
 
     entries = reps.select("id", "n", F.explode("sketch").alias("value"))
-    often = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared_values = entries.join(often, "value")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "value"))
-    held = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    alone = F.least("n", F.lit(size)) - held  # values that no other sketch retains come first
-    lists = shared_values.withColumns({"place": place + alone, "most": prefix_length(F.col("n"), size, shared)}).filter("place <= most").select("value", "id", "n")
-    lists = common.materialize(lists, "lists")
+    lists = common.materialize(lists_of(entries, F.least("n", F.lit(size)), prefix_length(F.col("n"), size, shared)), "lists")
 
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    known = (F.greatest("n_a", "n_b") <= size).alias("known")
     first_ids = F.row_number().over(Window.partitionBy("value").orderBy("id"))
     leaders = lists.withColumn("r", first_ids).filter(F.col("r") <= LEADERS).select("value", F.col("id").alias("a"), F.col("n").alias("n_a"))
     fits = (F.col("a") < F.col("id")) & (F.least("n", "n_a") * PARTS >= F.greatest("n", "n_a") * LEAST)
-    stars = common.materialize(lists.join(leaders, "value").filter(fits).select("a", F.col("id").alias("b")).distinct(), "stars")
-    first = verified(stars.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size)).select("a", "b", known), docs, shingle, "stars")
-
-    label = components(first).withColumnRenamed("component", "label")
-    marked = common.materialize(lists.join(label, "id", "left").select("value", "id", F.coalesce("label", "id").alias("label")), "marked")
-    parts = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
-    parts = parts.filter("k > 1").select("value", (-F.col("top.m")).alias("main"))
-    prefix = lists.groupBy("id").agg(F.array_sort(F.collect_list("value")).alias("pre"))
-    split = common.materialize(marked.join(parts, "value").join(prefix, "id").join(reps, "id"), "split")
-    stray = split.filter("label <> main").select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("sketch").alias("s_a"), F.col("pre").alias("pre_a"))
-    other = split.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), "label", F.col("sketch").alias("s_b"), "pre", "main")
-    apart = (F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("main")) | (F.col("a") < F.col("b")))
-    once = F.array_min(F.array_intersect("pre", "pre_a")) == F.col("value")
-    fits = F.least("n_a", "n_b") * PARTS >= F.greatest("n_a", "n_b") * LEAST
-    rest = other.join(stray, "value").filter(apart & fits & once & near_by_sketch(size)).select(*_two("a", "b"), known)
-    second = verified(rest.join(stars, ["a", "b"], "left_anti"), docs, shingle, "rest")
+    stars = lists.join(leaders, "value").filter(fits).select("a", F.col("id").alias("b")).distinct()
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    known = (F.greatest("n_a", "n_b") <= size).alias("known")
+    likely = common.materialize(stars.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size)).select("a", "b", known), "likely")
+    check = likely.filter("NOT known").select("a", "b")
+    sets = sets_of(docs, check.select(F.col("a").alias("id")).union(check.select(F.col("b").alias("id"))), shingle, "stars")
+    first = common.materialize(linked(check, sets).union(likely.filter("known").select("a", "b")), "star-links")
+
+    label = common.materialize(components(first).withColumnRenamed("component", "label"), "labels")
+    labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marked = common.materialize(labelled(lists).select("value", "id", "label"), "marked")
+    several = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("value")
+    open_ = sets_of(docs, marked.join(several, "value").select("id"), shingle, "open")
+    entries = open_.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value"))
+    exact = (F.col("n") - F.ceil(F.col("n") * LEAST / PARTS) + 1).cast("int")
+    rest = common.materialize(across(labelled(lists_of(entries, F.col("n"), exact)).select("value", "id", "n", "label")), "rest")
+    second = common.materialize(linked(rest, open_), "rest-links")
 
     groups = components(first.union(second))
     out = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
