@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import common
 
-K, BLOCK, BATCH, LINES, WIDTH, SIGMAS, GROWTH, SEED = 20, 8192, 512, 48, 1.0, 1.7, 1.35, 7
+K, BLOCK, BATCH, LINES, WIDTH, SIGMAS, GROWTH, SEED = 20, 8192, 512, 24, 1.0, 1.7, 1.35, 7
 
 
 def usable(vector: Column) -> Column:
