@@ -99,14 +99,14 @@ def chunk_padding(spark, sf_dir):
 
 @query()
 def spectrum_bands(spark, sf_dir):
-    """Levels per band of three seconds' worth of each session's samples, repeated, and their bars."""
-    rows = _samples(spark, sf_dir).select("session_id", F.flatten(F.array_repeat("samples", 8)).alias("samples"))
+    """Levels per band of each session's samples, repeated to fill the transform, and their bars."""
+    rows = _samples(spark, sf_dir).select("session_id", F.flatten(F.array_repeat("samples", 32)).alias("samples"))
     return rows.select("session_id", S.spectrum("samples").alias("bands")).withColumn("bars", T.bars(F.col("bands")))
 
 
 @query()
 def fbank(spark, sf_dir):
-    rows = _samples(spark, sf_dir).select("session_id", F.flatten(F.array_repeat("samples", 4)).alias("samples"))
+    rows = _samples(spark, sf_dir).select("session_id", F.flatten(F.array_repeat("samples", 16)).alias("samples"))
     return rows.select("session_id", F.posexplode(S.fbank("samples")).alias("frame", "feats"))
 
 
