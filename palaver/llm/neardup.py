@@ -131,22 +131,31 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def lists_of(entries: DataFrame, kept: Column, most: Column) -> DataFrame:
-    """Inverted lists (value, id, n) of entries (id, n, value): of the ``kept`` values of a document the
-    ``most`` rarest, without those that no other document has."""
+    """Inverted lists (value, id, n, place) of entries (id, n, value): of the ``kept`` values of a document
+    the ``most`` rarest, without those that no other document has; ``place`` counts these as well."""
     often = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "value"))
     alone = kept - F.count(F.lit(1)).over(Window.partitionBy("id"))  # values of one document come first
-    return entries.join(often, "value").withColumns({"place": place + alone, "most": most}).filter("place <= most").select("value", "id", "n")
+    return entries.join(often, "value").withColumns({"place": place + alone, "most": most}).filter("place <= most").select("value", "id", "n", "place")
 
 
 def across(marked: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of documents with different labels that share a list (value, id, n, label)."""
+    """Pairs (a, b) of documents with different labels that may be linked, from lists of full sets (value,
+    id, n, place, label).
+
+    A pair is made in the first list, by rarity, that both are in; what comes before is not shared, so
+    the places in that list bound the intersection.
+    """
     parts = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
-    split = common.materialize(marked.join(parts.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "value"), "split")
-    stray = split.filter("label <> main").select("value", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p"))
-    apart = (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("p") < F.col("id")))
-    fits = F.least("n", "n_p") * PARTS >= F.greatest("n", "n_p") * LEAST
-    return split.join(stray, "value").filter(apart & fits).select(*_two("p", "id")).distinct()
+    ranks = marked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("ranked"))
+    split = marked.join(parts.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "value").join(ranks, "id")
+    split = common.materialize(split, "split")
+    stray = split.filter("label <> main").select("value", *(F.col(c).alias(f"{c}_p") for c in ("id", "n", "place", "label", "ranked")))
+    apart = (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("id_p") < F.col("id")))
+    most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
+    fits = most * PARTS >= (F.col("n") + F.col("n_p") - most) * LEAST
+    once = F.get(F.array_intersect("ranked", "ranked_p"), F.lit(0)) == F.col("value")
+    return split.join(stray, "value").filter(apart & fits & once).select(*_two("id_p", "id"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,7 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_ = sets_of(docs, marked.join(several, "value").select("id"), shingle, "open")
     entries = open_.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value"))
     exact = (F.col("n") - F.ceil(F.col("n") * LEAST / PARTS) + 1).cast("int")
-    rest = common.materialize(across(labelled(lists_of(entries, F.col("n"), exact)).select("value", "id", "n", "label")), "rest")
+    rest = common.materialize(across(labelled(lists_of(entries, F.col("n"), exact))), "rest")
     second = common.materialize(linked(rest, open_), "rest-links")
 
     groups = components(first.union(second))
