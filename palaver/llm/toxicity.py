@@ -119,8 +119,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     toxic = np.asarray(toxic, int)
     if len(set(toxic.tolist())) < 2:
         return Model({}, np.array([60.0, 60.0]))
-    found = [words(t) for t in texts]
-    values = [np.unique(_hashed(f), return_counts=True) for f in found]
+    values = []
+    for t in texts:
+        keys, counts = np.unique(_hashed(words(t)), return_counts=True)
+        values.append((keys, np.minimum(counts, 65_535).astype(np.uint16)))
     n1, n = toxic.sum(), len(toxic)
 
     def seen(of) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     grade = toxic + (toxic & (strong > np.median(strong[toxic == 1])))
     w, cuts = fit_ordinal(rows, columns, counts, grade, len(keys))
     used = {int(k): float(x) for k, x in zip(keys, w, strict=True) if abs(x) > 1e-9}
-    names = {f: used[h] for doc in found for word in doc for f in features(word) if (h := zlib.crc32(f.encode())) in used}
+    names = {f: used[h] for t in texts for word in words(t) for f in features(word) if (h := zlib.crc32(f.encode())) in used}
     return Model(names, cuts)
 
 
