@@ -14,7 +14,7 @@ insults in it. The model is fitted on at most ``SAMPLE`` labelled documents, tho
 the smallest hash of their id.
 
 Defined results: a null or empty text has no words and gets the severity of the thresholds alone;
-without labels of both kinds every severity is 0; repeated rows score alike; an empty table gives an
+without labels of both kinds every severity is 0, and without any telling feature that of the labels' shares; repeated rows score alike; an empty table gives an
 empty result.
 """
 
@@ -132,6 +132,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     keys, total = seen(range(n))
     marked_keys, marked = seen(np.flatnonzero(toxic))
     keys, total = keys[total >= LEAST], total[total >= LEAST]
+    alone = Model({}, np.array([np.log((n - n1) / n1), 60.0]))  # too little to tell anything by
+    if not len(keys):
+        return alone
     in_toxic = np.zeros(len(keys))
     at = np.searchsorted(keys, marked_keys)
     fits = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == marked_keys)
@@ -142,6 +145,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     top = np.lexsort((keys, -telling))[:TERMS]
     top = np.sort(top[in_toxic[top] > PURE * total[top]])
     keys, telling = keys[top], telling[top]
+    if not len(keys):
+        return alone
     rows, columns, counts = [], [], []
     for i, (k, c) in enumerate(values):
         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)

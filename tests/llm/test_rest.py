@@ -198,6 +198,8 @@ def test_ordinal():
     z = x @ w
     assert ((z[:, None] > cuts).sum(1) == grade).mean() > 0.98
     assert toxicity.fit(["a", "b"], np.array([0, 0])).severity("a")[0] < 1e-6
+    few = toxicity.fit(["a b", "c d", "e"], np.array([0, 1, 0]))
+    assert few.terms == {} and math.isclose(1 - few.severity("c")[1][0], 1 / 3)
     assert toxicity.words(None) == set() and toxicity.words("Idiot!! idiot") == {"idiot"}
 
 
