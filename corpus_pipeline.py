@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from palaver.llm import common, mixing, neardup, pii, quality, spm
 
+#: Near duplicates share LEAST of PARTS of their runs of so many words, or more.
+WORDS, LEAST, PARTS = 5, 80, 100
+
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id."""
-    found = common.materialize(neardup.near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    found = common.materialize(neardup.near_duplicates(docs.select("doc_id", "text"), shingle=WORDS, least=LEAST, parts=PARTS), "near-duplicates")
     keep = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     out = docs.join(keep, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
     repeats = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()

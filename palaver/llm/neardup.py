@@ -7,8 +7,8 @@ of them. Documents with equal sets form a class, and only one representative of
 first. Two sketches that have ``o`` values in common share one among the first ``size - o + 1`` of
 each, so only those go into the lists, and values of passages that many documents share come last and
 stay out, unless a document consists of little else. Sketches that hold whole sets need exactly the
-overlap that the threshold asks for; of others ``SHARED`` of the values are asked for, which pairs at the
-threshold miss with a chance below 1e-8.
+overlap that the threshold asks for; of others so many values are asked for (:func:`shared_values`) that
+pairs at the threshold miss them with a chance below ``SHARED``.
 
 *Stars, then the rest.* In each list the ``LEADERS`` smallest ids are leaders and meet all others. The
 links found label the documents by component. Documents of lists with several labels are listed again,
@@ -18,8 +18,8 @@ is not the list's most frequent one meet all those with another label, so that n
 that are not yet known to belong together is left out. Pairs within a part are never made.
 
 *Filter and check.* A pair's union sketch, the smallest values of both sketches together, estimates the
-overlap; pairs below ``LIKELY`` go (pairs at the threshold with a chance of about 1e-7). The others are
-checked on their full sets. Components come from the links by rounds of large and small stars.
+overlap; pairs below what the threshold makes likely go (pairs at the threshold with a chance below
+``LIKELY``). The others are checked on their full sets. Components come from the links by rounds of large and small stars.
 
 Defined results: null and empty texts have no shingles, link to nothing and are classes of their own;
 rows with a null id are classes of their own with a null id; rows that repeat an id and a text are one
@@ -29,6 +29,7 @@ class; an empty table gives an empty result. Two shingles count as equal if thei
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 
 from palaver.llm import common
 
-SHINGLE, SKETCH, SHARED, LIKELY, LEADERS = 3, 64, 36, 38, 8
-#: Link when PARTS * intersection >= LEAST * union.
+SHINGLE, SKETCH, LEADERS = 3, 64, 8
+#: Chances that a pair at the threshold is missed by the lists and by the union sketches.
+SHARED, LIKELY = 1e-8, 2e-7
+#: Link when PARTS * intersection >= LEAST * union, unless the caller asks for another similarity.
 PARTS, LEAST = 100, 85
 MOST_ROUNDS = 40
 #: Ids sent to all executors at most (8 bytes each).
@@ -92,6 +95,16 @@ def full_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return df.select("id", "data").mapInArrow(run, "id long, items array<bigint>")
 
 
+def shared_values(size: int, chance: float, least: int = LEAST, parts: int = PARTS) -> int:
+    """The most values of a union sketch that both documents of a pair at the threshold have, but for this chance."""
+    below, share = 0.0, least / parts
+    for k in range(size):
+        below += math.comb(size, k) * share**k * (1 - share) ** (size - k)
+        if below > chance:
+            return k
+    return size
+
+
 def prefix_length(n: Column, size: int, shared: int, least: int = LEAST, parts: int = PARTS) -> Column:
     """How many of a sketch's values go into the lists."""
     exact = n - F.ceil(n * least / parts) + 1
@@ -104,13 +117,14 @@ def _two(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_by_sketch(size: int) -> Column:
+def near_by_sketch(size: int, least: int = LEAST, parts: int = PARTS) -> Column:
     """Whether a pair (n_a, s_a, n_b, s_b) may be linked: exact where both sketches hold whole sets."""
-    fits = F.least("n_a", "n_b") * PARTS >= F.greatest("n_a", "n_b") * LEAST
+    enough = shared_values(size, LIKELY, least, parts)
+    fits = F.least("n_a", "n_b") * parts >= F.greatest("n_a", "n_b") * least
     inter = F.array_intersect("s_a", "s_b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, size)
-    exact = F.size(inter) * PARTS >= (F.size("s_a") + F.size("s_b") - F.size(inter)) * LEAST
-    likely = (F.size(inter) >= LIKELY) & (F.size(F.array_intersect(inter, union)) >= LIKELY)
+    exact = F.size(inter) * parts >= (F.size("s_a") + F.size("s_b") - F.size(inter)) * least
+    likely = (F.size(inter) >= enough) & (F.size(F.array_intersect(inter, union)) >= enough)
     return fits & F.when(F.greatest("n_a", "n_b") <= size, exact).otherwise(likely)
 
 
@@ -122,12 +136,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, name: str) -> DataFra
     return common.materialize(full_sets(docs.join(ids, "id", "left_semi"), shingle).dropDuplicates(["id"]), f"{name}-sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
     """The pairs (a, b) that their full sets link."""
     items = lambda x: sets.select(F.col("id").alias(x), F.col("items").alias(f"i_{x}"))
     both = pairs.join(items("a"), "a").join(items("b"), "b")
     inter = F.size(F.array_intersect("i_a", "i_b"))
-    return both.filter(inter * PARTS >= (F.size("i_a") + F.size("i_b") - inter) * LEAST).select("a", "b")
+    return both.filter(inter * parts >= (F.size("i_a") + F.size("i_b") - inter) * least).select("a", "b")
 
 
 def lists_of(entries: DataFrame, kept: Column, most: Column) -> DataFrame:
@@ -139,21 +153,21 @@ def lists_of(entries: DataFrame, kept: Column, most: Column) -> DataFrame:
     return entries.join(often, "value").withColumns({"place": place + alone, "most": most}).filter("place <= most").select("value", "id", "n", "place")
 
 
-def across(marked: DataFrame) -> DataFrame:
+def across(marked: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
     """Pairs (a, b) of documents with different labels that may be linked, from lists of full sets (value,
     id, n, place, label).
 
     A pair is made in the first list, by rarity, that both are in; what comes before is not shared, so
     the places in that list bound the intersection.
     """
-    parts = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
+    mains = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
     ranks = marked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("ranked"))
-    split = marked.join(parts.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "value").join(ranks, "id")
+    split = marked.join(mains.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "value").join(ranks, "id")
     split = common.materialize(split, "split")
     stray = split.filter("label <> main").select("value", *(F.col(c).alias(f"{c}_p") for c in ("id", "n", "place", "label", "ranked")))
     apart = (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("id_p") < F.col("id")))
     most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
-    fits = most * PARTS >= (F.col("n") + F.col("n_p") - most) * LEAST
+    fits = most * parts >= (F.col("n") + F.col("n_p") - most) * least
     once = F.get(F.array_intersect("ranked", "ranked_p"), F.lit(0)) == F.col("value")
     return split.join(stray, "value").filter(apart & fits & once).select(*_two("id_p", "id"))
 
@@ -178,8 +192,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, size: int = SKETCH, shared: int = SHARED) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, size: int = SKETCH, least: int = LEAST, parts: int = PARTS) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept.
+
+    Links are pairs of sets of ``shingle`` words with a similarity of ``least / parts`` or more.
+    """
+    shared = shared_values(size, SHARED, least, parts)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("binary").alias("data"))
     own = common.materialize(sketches(df, id_col, text_col, shingle, size), "sketches")
     classes = own.filter(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
@@ -188,18 +206,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = common.materialize(own.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "representatives")
 
     entries = reps.select("id", "n", F.explode("sketch").alias("value"))
-    lists = common.materialize(lists_of(entries, F.least("n", F.lit(size)), prefix_length(F.col("n"), size, shared)), "lists")
+    lists = common.materialize(lists_of(entries, F.least("n", F.lit(size)), prefix_length(F.col("n"), size, shared, least, parts)), "lists")
 
     first_ids = F.row_number().over(Window.partitionBy("value").orderBy("id"))
     leaders = lists.withColumn("r", first_ids).filter(F.col("r") <= LEADERS).select("value", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    fits = (F.col("a") < F.col("id")) & (F.least("n", "n_a") * PARTS >= F.greatest("n", "n_a") * LEAST)
+    fits = (F.col("a") < F.col("id")) & (F.least("n", "n_a") * parts >= F.greatest("n", "n_a") * least)
     stars = lists.join(leaders, "value").filter(fits).select("a", F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     known = (F.greatest("n_a", "n_b") <= size).alias("known")
-    likely = common.materialize(stars.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size)).select("a", "b", known), "likely")
+    likely = common.materialize(stars.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size, least, parts)).select("a", "b", known), "likely")
     check = likely.filter("NOT known").select("a", "b")
     sets = sets_of(docs, check.select(F.col("a").alias("id")).union(check.select(F.col("b").alias("id"))), shingle, "stars")
-    first = common.materialize(linked(check, sets).union(likely.filter("known").select("a", "b")), "star-links")
+    first = common.materialize(linked(check, sets, least, parts).union(likely.filter("known").select("a", "b")), "star-links")
 
     label = common.materialize(components(first).withColumnRenamed("component", "label"), "labels")
     labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -207,9 +225,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("value")
     open_ = sets_of(docs, marked.join(several, "value").select("id"), shingle, "open")
     entries = open_.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value"))
-    exact = (F.col("n") - F.ceil(F.col("n") * LEAST / PARTS) + 1).cast("int")
-    rest = common.materialize(across(labelled(lists_of(entries, F.col("n"), exact))), "rest")
-    second = common.materialize(linked(rest, open_), "rest-links")
+    exact = (F.col("n") - F.ceil(F.col("n") * least / parts) + 1).cast("int")
+    rest = common.materialize(across(labelled(lists_of(entries, F.col("n"), exact)), least, parts), "rest")
+    second = common.materialize(linked(rest, open_, least, parts), "rest-links")
 
     groups = components(first.union(second))
     out = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))

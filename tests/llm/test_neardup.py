@@ -72,3 +72,45 @@ def test_prefix(spark, n):
 
     kept = spark.range(1).select(neardup.prefix_length(F.lit(n).cast("long"), 64, 36).alias("p")).first()["p"]
     assert kept >= n - -(-85 * n // 100) + 1 if n <= 54 else kept >= min(n, 64) - 36 + 1
+
+
+def jaccard(a, b, n):
+    x, y = ({tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def groups_at(texts, n, least):
+    """Kept ids by plain Python: the smallest id of each group of links."""
+    up = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(texts[a], texts[b], n) >= least:
+                x, y = sorted((up[a], up[b]))
+                up = [x if u == y else u for u in up]
+    return {i for i, u in enumerate(up) if u == i}
+
+
+def test_pipeline_threshold(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = []
+    for n in (40, 70, 120, 1000):
+        base = words(n)
+        texts += [base, f"{base} {words(n // 5)}", f"{words(n)} {words(n)}"]  # about 0.83
+        base = words(n)
+        texts += [base, f"{words(n // 5)} {base}", f"{base} {words(n // 3)}"]  # 0.83 and 0.75
+        base = words(n)
+        texts += [base, " ".join(base.split()[: n - n // 6])]
+    assert 0.8 < jaccard(texts[-8], texts[-7], 5) < 0.85 and 0.8 < jaccard(texts[-8], texts[-7], 3) < 0.85
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == groups_at(texts, 5, 0.8)
+    strict = {r["doc_id"] for r in neardup.near_duplicates(docs).collect() if r["kept"]}
+    assert strict == groups_at(texts, 3, 0.85) and len(got) < len(strict)
+
+
+def test_bounds_of_the_contract():
+    assert (neardup.shared_values(64, neardup.SHARED), neardup.shared_values(64, neardup.LIKELY)) == (36, 38)
+    assert (neardup.shared_values(64, neardup.SHARED, 80), neardup.shared_values(64, neardup.LIKELY, 80)) == (31, 33)
