@@ -1,28 +1,34 @@
 """PII surrogates: keyed, type-consistent replacements for detected entities.
 
 Detected are mail addresses, phone numbers, IPv4 addresses, long card or account numbers, secrets in
-hexadecimal, and names that follow a form of address. A surrogate is the value of a keyed permutation
-of all strings of the same form: each character stays in its class (digits, hex digits, vowels and
-consonants of its script and case), punctuation stays where it is. A permutation gives distinct
-entities distinct surrogates and the same entity the same one everywhere, without a table of entities:
-no shuffle, and no state to lose. Given names of the gendered lists are permuted among names of the
-same gender and script, and other names never become one of those (the permutation is walked on
-until the form fits, which keeps it one to one). Card numbers that pass their check digit go to
-numbers that pass it, others to others.
+hexadecimal, and names that follow a form of address. A surrogate is the next value on a keyed cycle
+through all strings of the same form: each character stays in its class (digits, hex digits, vowels and
+consonants of its script and case; other scripts by letters and digits), punctuation stays where it is.
+A cycle gives distinct entities distinct surrogates, none its own, and the same entity the same one
+everywhere, without a table of entities: no shuffle, and no state to lose. Given names of the gendered
+lists go through names of the same gender and script, and other names never become one of those (the
+cycle is walked on until the form fits, which keeps it one to one). Card numbers that pass their check
+digit go to numbers that pass it, others to others.
 
 :func:`collisions` checks this over the distinct entities of a table; :func:`replace` runs that check
-first and moves to the next tweak of the key should two entities share a surrogate or one stay as it is.
+first, moves to the next tweak of the key should two entities share a surrogate or one stay as it is, and
+raises if no tweak is left.
 
 Defined results: null texts stay null, empty texts empty, texts without entities are unchanged;
-entities that differ in letter case alone are one entity, and surrogates follow the case; repeated
-rows get the same surrogates; an empty table gives an empty result.
+entities that differ in letter case alone are one entity (also letters with one capital, as both small
+sigmas), and surrogates follow the case; addresses that differ in leading zeros are one; repeated rows get
+the same surrogates; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,17 +67,47 @@ ENTITY = re.compile(
 NAME = re.compile(_NAME)
 _CHEAP = re.compile(r"[0-9@]")
 
-_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρσςτφχψ"]
+_CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _CLASS_OF = {c: (cls, i) for cls in _CLASSES for i, c in enumerate(cls)}
 _HEX = "0123456789abcdef"
 _HEX_OF = {c: (_HEX, i) for i, c in enumerate(_HEX)}
 
 
+def small(text: str) -> str:
+    """Small letters, one for each capital."""
+    return text.lower() if text.isascii() else "".join(low if len(up := c.upper()) == 1 and len(low := up.lower()) == 1 else c.lower() for c in text)
+
+
+@functools.cache
+def _scripts() -> dict[tuple[str, str], str]:
+    """The letters and digits that no list has, by script (the first word of their names) and kind."""
+    found: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if c.isalnum() and c not in _CLASS_OF and small(c) == c:
+            found.setdefault(_script(c), []).append(c)
+    alone = sorted(c for x in found.values() if len(x) == 1 for c in x)
+    return {k: "".join(x) if len(x) > 1 else "".join(alone) for k, x in found.items()}
+
+
+def _script(c: str) -> tuple[str, str]:
+    return unicodedata.name(c, "OTHER").split(" ")[0], unicodedata.category(c)
+
+
+@functools.lru_cache(100_000)
+def _class_of(c: str) -> tuple[str, int] | None:
+    """A character's class and its place there; None if it stays."""
+    if c in _CLASS_OF or not c.isalnum():
+        return _CLASS_OF.get(c)
+    cls = _scripts()[_script(c)]
+    return cls, bisect_left(cls, c)
+
+
 class Permuter:
-    """Keyed permutations; the tweak picks another one."""
+    """Keyed cycles; the tweak picks another one."""
 
     def __init__(self, key: bytes = KEY, tweak: int = 0):
         self.key = hashlib.sha256(key + bytes([tweak])).digest()
+        self.orders: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
 
     def _number(self, context: str, round_: int, value: int, modulus: int) -> int:
         digest = hmac.digest(self.key, f"{context}|{round_}|{value:x}".encode(), "sha256")
@@ -79,13 +115,24 @@ class Permuter:
             digest += hmac.digest(self.key, digest, "sha256")
         return int.from_bytes(digest, "big") % modulus
 
-    def places(self, values: list[int], sizes: list[int], context: str) -> list[int]:
-        """Permutes tuples with ``values[i] < sizes[i]``: an alternating Feistel network of mixed radix."""
+    def _order(self, form: str, n: int) -> tuple[list[int], list[int]]:
+        """A permutation of a small range, and its inverse."""
+        if (form, n) not in self.orders:
+            order = sorted(range(n), key=lambda i: self._number(form, i, 0, 1 << 64))
+            places = [0] * n
+            for place, i in enumerate(order):
+                places[i] = place
+            self.orders[form, n] = order, places
+        return self.orders[form, n]
+
+    def places(self, values: list[int], sizes: list[int], context: str, step: int = 1) -> list[int]:
+        """Tuples with ``values[i] < sizes[i]`` stand on one cycle in a keyed order, that of an alternating
+        Feistel network of mixed radix; this is the tuple ``step`` further, another one unless the step is
+        a multiple of their number."""
         form = f"{context}|{','.join(map(str, sizes))}"
         if len(values) == 1:
-            a, n = values[0], sizes[0]
-            order = sorted(range(n), key=lambda i: self._number(form, i, 0, 1 << 64))
-            return [order[a]]
+            order, places = self._order(form, sizes[0])
+            return [order[(places[values[0]] + step) % sizes[0]]]
         halves = []
         for part in (slice(0, None, 2), slice(1, None, 2)):
             number, modulus = 0, 1
@@ -95,30 +142,37 @@ class Permuter:
         for r in range(10):
             to, by = halves[r % 2], halves[1 - r % 2]
             to[0] = (to[0] + self._number(form, r, by[0], to[1])) % to[1]
+        (a, m), (b, n) = halves
+        halves[0][0], halves[1][0] = divmod((a * n + b + step) % (m * n), n)
+        for r in reversed(range(10)):
+            to, by = halves[r % 2], halves[1 - r % 2]
+            to[0] = (to[0] - self._number(form, r, by[0], to[1])) % to[1]
         out = [0] * len(values)
         for (number, _), start in zip(halves, (0, 1), strict=True):
             for i in reversed(range(start, len(values), 2)):
                 number, out[i] = divmod(number, sizes[i])
         return out
 
-    def text(self, value: str, context: str, fits=None, classes: dict = _CLASS_OF) -> str:
-        """Permutes a string of lower case within the classes of its characters. With ``fits``, strings
+    def text(self, value: str, context: str, fits=None, class_of=_class_of) -> str:
+        """Another string in small letters, each of the class of its character. With ``fits``, strings
         that fit go to strings that fit; the others to the others, by walking on."""
         goal = fits(value) if fits else None
-        at = [i for i, c in enumerate(value) if c in classes]
+        classes = [class_of(c) for c in value]
+        at = [i for i, c in enumerate(classes) if c]
         if not at:
-            return value
-        sizes = [len(classes[value[i]][0]) for i in at]
-        out = value
-        for _ in range(10_000):
-            chars = list(out)
-            numbers = self.places([classes[out[i]][1] for i in at], sizes, context + "|" + "".join(c for c in value if c not in classes))
-            for i, n in zip(at, numbers, strict=True):
-                chars[i] = classes[value[i]][0][n]
+            raise ArithmeticError("nothing here can be replaced")
+        numbers, sizes = [classes[i][1] for i in at], [len(classes[i][0]) for i in at]
+        context += "|" + "".join(c for c, k in zip(value, classes, strict=True) if not k)
+        for step in range(1, 10_001):
+            chars = list(value)
+            for i, n in zip(at, self.places(numbers, sizes, context, step), strict=True):
+                chars[i] = classes[i][0][n]
             out = "".join(chars)
+            if out == value:
+                break
             if fits is None or fits(out) == goal:
                 return out
-        raise ArithmeticError("no string of this form fits")
+        raise ArithmeticError("no other string of this form fits")
 
 
 def _luhn(digits: str) -> bool:
@@ -139,7 +193,9 @@ def normal(kind: str, value: str) -> str:
     """What makes two mentions the same entity."""
     if kind in ("phone", "card"):
         return ("+" if value.startswith("+") else "") + "".join(c for c in value if c.isdigit())
-    return value.lower()
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    return small(value)
 
 
 class Surrogates:
@@ -154,7 +210,7 @@ class Surrogates:
             head, _, top = value.rpartition(".")
             return f"{by.text(head, 'email')}.{top}"
         if kind == "secret":
-            return by.text(value, "secret", classes=_HEX_OF)
+            return by.text(value, "secret", class_of=_HEX_OF.get)
         if kind == "ip":
             parts = by.places([int(x) for x in value.split(".")], [256] * 4, "ip")
             return ".".join(map(str, parts))
@@ -219,16 +275,16 @@ def entities(df: DataFrame, text_col: str = "text", key: bytes = KEY, tweak: int
 
 def collisions(found: DataFrame) -> DataFrame:
     """Surrogates that more than one entity has, or that are the entity itself."""
-    groups = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("entity") == F.col("surrogate")) & F.col("entity").rlike(r"[\p{L}\d]{2}")).alias("same"))
+    groups = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("entity") == F.col("surrogate")).alias("same"))
     return groups.filter("n > 1 OR same")
 
 
 def tweak_without_collisions(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> int:
-    """The first tweak under which no two entities meet; the last if all have collisions (of short forms)."""
+    """The first tweak under which no two entities meet and none stays; an error if there is none."""
     for tweak in range(TWEAKS):
         if collisions(entities(df, text_col, key, tweak)).limit(1).count() == 0:
             return tweak
-    return TWEAKS - 1
+    raise ArithmeticError("entities share a surrogate or stay as they are under every tweak")
 
 
 def replace(df: DataFrame, text_col: str = "text", key: bytes = KEY, tweak: int | None = None) -> DataFrame:

@@ -236,6 +236,52 @@ def test_pii_one_to_one():
     assert all(pii._luhn(pii.Surrogates().form("card", c)) == pii._luhn(c) for c in good)
 
 
+def test_pii_other_scripts(spark):
+    names = ["王小明", "王", "李", "משה", "محمد", "김철수", "ひろし", "Ñ", "Σ", "ΣΑΣ", "Հայկ", "Ⅷ", "Ƿ", "Y", "O"]
+    said = [f"Dr. {n} came." for n in names] + [f"Mrs {n} came." for n in pii.NAMES["latin", "f"]] + [f"Mr {n} came." for n in pii.NAMES["cyrillic", "m"]]
+    said += ["call 1: +٩٧١ ٥٠ ١٢٣ ٤٥٦٧ now", "ip 01.0.0.7 here", "ip 1.0.0.7 here", "mail aß@b.com or a王@b.com"]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert pii.tweak_without_collisions(df) == 0
+    rows = pii.replace(df).collect()
+    made = {}
+    for r in rows:
+        old = said[r["doc_id"]]
+        found = pii.find(old)
+        assert found and len(found) == len(r["pii"]), old
+        for (kind, a, b), e in zip(found, r["pii"], strict=True):
+            if kind != "ip" or not old.startswith("ip 0"):
+                assert e["surrogate"] != old[a:b], old
+                made.setdefault((kind, pii.normal(kind, e["surrogate"])), set()).add(pii.normal(kind, old[a:b]))
+        assert r["text"] != old
+    assert all(len(x) == 1 for x in made.values())
+    assert pii.replace(df.filter("doc_id = 0")).first()["text"].startswith("Dr. ")
+
+
+def test_pii_no_fixed_points():
+    by = pii.Permuter()
+    for sizes in ([2], [24], [3, 4], [2, 3, 5], [2, 2]):
+        every = [list(x) for x in np.ndindex(*sizes)]
+        out = [by.places(x, sizes, "n") for x in every]
+        assert sorted(out) == every and all(x != y for x, y in zip(every, out, strict=True))
+    for tweak in range(pii.TWEAKS):
+        makes = pii.Surrogates(tweak=tweak)
+        assert all(makes.form("name", n.lower()) != n.lower() for names in pii.NAMES.values() for n in names)
+    assert all(len(set(x)) == len(x) > 1 for x in pii._scripts().values())
+    for c in map(chr, range(0, 0x30000, 7)):
+        if c.isalnum() and pii.small(c) == c:
+            cls, i = pii._class_of(c)
+            assert cls[i] == c and pii.small(cls[0]) == cls[0]
+    with pytest.raises(ArithmeticError):
+        by.text("--", "x")
+
+
+def test_pii_raises_rather_than_keeping(spark, monkeypatch):
+    df = spark.createDataFrame([("Dr. Moss came.",)], "text string")
+    monkeypatch.setattr(pii, "entities", lambda df, *_: df.selectExpr("'name' AS kind", "'moss' AS entity", "'moss' AS surrogate"))
+    with pytest.raises(ArithmeticError):
+        pii.tweak_without_collisions(df)
+
+
 # --- nearest neighbours
 
 
