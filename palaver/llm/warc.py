@@ -12,7 +12,8 @@ tried again leaves at worst an archive that no index names. Archives are reached
 ``pyarrow.fs``, so the shared folder may be local or remote.
 
 Defined results: null payloads are empty; a null id is kept as null and is always a response; rows
-that repeat an id and a payload are responses alike where that id is the smallest; a null URL is
+that repeat an id and a payload are responses alike where that id is the smallest; rows that repeat an
+id with other payloads are told apart by these; a null URL is
 written as ``urn:none``; an empty table gives an empty index.
 """
 
@@ -39,11 +40,11 @@ INDEX = "page_id long, url string, archive string, offset long, length long, dig
 
 
 def classify(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
-    """The rows that are revisits: ``page_id`` and the id of the response that they refer to."""
+    """The rows that are revisits: ``page_id`` and payload digest, and the id of the response that they refer to."""
     keys = pages.select(pages[id_col].alias("page_id"), common.utf8(payload_col).alias("p")).filter(F.octet_length("p") >= least).select("page_id", F.sha2("p", 256).alias("digest"))
     keys = common.materialize(keys, "digests")
     groups = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return keys.join(groups, "digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return keys.join(groups, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _clean(url: str) -> str:
@@ -90,7 +91,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     spark = pages.sparkSession
     revisits = common.materialize(classify(pages, id_col, payload_col, least), "revisits")
     folder = common.scratch(spark, "warc")
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), common.utf8(payload_col).alias("payload")).join(revisits, "page_id", "left")
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), common.utf8(payload_col).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).join(revisits, ["page_id", "digest"], "left")
 
     def run(batches):
         place, base = _place(folder)

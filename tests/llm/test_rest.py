@@ -63,6 +63,15 @@ def test_warc(spark):
     assert warc.write(df.filter("false")).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    a, b, c = ("x" * 200, "y" * 200, "z" * 200)
+    rows = [(1, "u", a), (2, "u", b), (3, "u", a), (3, "u", b), (3, "u", c), (3, "u", "tiny")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["refers_to"], r["payload_digest"], r["payload"] and bytes(r["payload"]).decode()) for r in warc.read(warc.write(df)).collect()), key=str)
+    d = lambda t: SHA(t.encode())
+    assert got == sorted([(1, None, d(a), a), (2, None, d(b), b), (3, 1, d(a), None), (3, 2, d(b), None), (3, None, d(c), c), (3, None, d("tiny"), "tiny")], key=str)
+
+
 def test_coalesce():
     assert warc.coalesce([(0, 10), (10, 5), (100, 5)], gap=20, most=50) == [(0, 2, 0, 15), (2, 3, 100, 105)]
     assert warc.coalesce([]) == []
