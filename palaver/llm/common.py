@@ -1,7 +1,8 @@
-"""Helpers that the operators share: tables, the shared scratch folder, text bytes."""
+"""Helpers that the operators share: tables, the shared scratch folder, columns by place, text bytes."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: One word: a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Frees a query's shuffle files at its end; a stage that misses them runs again.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,25 +22,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in one process) a temporary folder is set.
+    Where the session names none, a temporary folder is set if all runs in one process; on a cluster
+    this is an error, for executors would each write to a disk of their own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="palaver-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/palaver/{uuid.uuid4().hex}/{name}"
+    """A new path below the shared folder. What is left there goes when the application ends."""
+    top = f"{shared_dir(spark)}/palaver/{uuid.uuid4().hex}"
+    place, at = _path(spark, top)
+    place.mkdirs(at)
+    place.deleteOnExit(at)
+    return f"{top}/{name}"
+
+
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession):
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. Shuffle files
+    of the write are freed with it; the folder stays until :func:`drop` or the application's end."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path.rpartition("/")[0]
+    return out
+
+
+def drop(*made: DataFrame) -> None:
+    """Deletes the folders of materialized frames that nothing reads any more."""
+    for df in made:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            place, at = _path(df.sparkSession, path)
+            place.delete(at, True)
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1 and so on: names may clash with others, places can't."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """A column's name in :func:`by_place`."""
+    return f"c{df.columns.index(name)}"
 
 
 def utf8(col: str) -> Column:

@@ -14,16 +14,17 @@ pairs at the threshold miss them with a chance below ``SHARED``.
 links found label the documents by component. Documents of lists with several labels are listed again,
 now by their full sets: by rarity among themselves, and only as many values as a link at the threshold
 must share one of, which leaves out most that have no partner. In these lists the documents whose label
-is not the list's most frequent one meet all those with another label, so that no link between parts
-that are not yet known to belong together is left out. Pairs within a part are never made.
+is not the list's most frequent one meet those with another label, so that no link between parts that are
+not yet known to belong together is left out; each list is dealt by sizes (:func:`across`). Pairs within a
+part are never made.
 
-*Filter and check.* A pair's union sketch, the smallest values of both sketches together, estimates the
+*Filter and check*, in both steps. A pair's union sketch, the smallest values of both sketches together, estimates the
 overlap; pairs below what the threshold makes likely go (pairs at the threshold with a chance below
 ``LIKELY``). The others are checked on their full sets. Components come from the links by rounds of large and small stars.
 
 Defined results: null and empty texts have no shingles, link to nothing and are classes of their own;
-rows with a null id are classes of their own with a null id; rows that repeat an id and a text are one
-class; an empty table gives an empty result. Two shingles count as equal if their 64-bit hashes are.
+rows with a null id link to nothing and have a null component; rows that repeat an id and a text are one
+class, and of rows that repeat an id with other texts each links by its own; an empty table gives an empty result. Two shingles count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ SHINGLE, SKETCH, LEADERS = 3, 64, 8
 SHARED, LIKELY = 1e-8, 2e-7
 #: Link when PARTS * intersection >= LEAST * union, unless the caller asks for another similarity.
 PARTS, LEAST = 100, 85
-MOST_ROUNDS = 40
-#: Ids sent to all executors at most (8 bytes each).
-BROADCAST_IDS = 500_000
+#: Sizes up to the first are classes of their own, larger ones grow by the second.
+EXACT, STEP = 64, 1.02
+#: Ids sent to all executors at most (about 100 bytes each with what goes with them).
+BROADCAST_IDS = 200_000
 
 
 def shingles(data: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -69,30 +71,35 @@ def shingles(data: bytes, n: int = SHINGLE) -> np.ndarray:
     return np.unique((x ^ (x >> np.uint64(32))).view(np.int64))
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, size: int = SKETCH) -> DataFrame:
-    """Per row: id, n_shingles, digest of the set (null if empty) and sketch."""
+def sketches(df: DataFrame, shingle: int = SHINGLE, size: int = SKETCH) -> DataFrame:
+    """Per row (doc, row, data): doc, row, n (size of the set), digest of the set (null if empty) and sketch."""
 
     def run(batches):
         kept = pa.list_(pa.int64())
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                sets = [shingles(x or b"", shingle) for x in part.column(1).to_pylist()]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s[:size] for s in sets], kept)], ["id", "n", "digest", "sketch"])
+                sets = [shingles(x or b"", shingle) for x in part.column(2).to_pylist()]
+                digests = [_digest(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s[:size] for s in sets], kept)], ["doc", "row", "n", "digest", "sketch"])
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("binary").alias("data")).mapInArrow(run, "id long, n long, digest binary, sketch array<bigint>")
+    return df.mapInArrow(run, "doc long, row long, n long, digest binary, sketch array<bigint>")
+
+
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
 def full_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, data) to (id, items): the sets as arrays."""
+    """(id, data, digest) to (id, items): the sets as arrays, one for each id, of the text with that digest."""
 
     def run(batches):
         kept = pa.list_(pa.int64())
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x or b"", shingle) for x in part.column(1).to_pylist()], kept)], ["id", "items"])
+                rows = [(id_, s) for id_, data, digest in zip(*(c.to_pylist() for c in part.columns), strict=True) if _digest(s := shingles(data or b"", shingle)) == digest]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kept)], ["id", "items"])
 
-    return df.select("id", "data").mapInArrow(run, "id long, items array<bigint>")
+    return df.select("id", "data", "digest").mapInArrow(run, "id long, items array<bigint>").dropDuplicates(["id"])
 
 
 def shared_values(size: int, chance: float, least: int = LEAST, parts: int = PARTS) -> int:
@@ -128,12 +135,15 @@ def near_by_sketch(size: int, least: int = LEAST, parts: int = PARTS) -> Column:
     return fits & F.when(F.greatest("n_a", "n_b") <= size, exact).otherwise(likely)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, name: str) -> DataFrame:
-    """(id, items) for some documents. A list of up to ``BROADCAST_IDS`` ids goes to the scan; beyond that
-    the texts are shuffled."""
-    ids = common.materialize(ids.distinct(), f"{name}-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return common.materialize(full_sets(docs.join(ids, "id", "left_semi"), shingle).dropDuplicates(["id"]), f"{name}-sets")
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(id, items) for some ``nodes`` (id, doc, digest). A list of up to ``BROADCAST_IDS`` of them goes to the
+    scan; beyond that the texts are shuffled. Where a document id has several texts, the digest tells which."""
+    nodes = common.materialize(nodes, f"{name}-nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    picked = docs.join(F.broadcast(nodes) if few else nodes, "doc").select("id", "data", "digest")
+    out = common.materialize(full_sets(picked, shingle), f"{name}-sets")
+    common.drop(nodes)
+    return out
 
 
 def linked(pairs: DataFrame, sets: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
@@ -147,36 +157,52 @@ def linked(pairs: DataFrame, sets: DataFrame, least: int = LEAST, parts: int = P
 def lists_of(entries: DataFrame, kept: Column, most: Column) -> DataFrame:
     """Inverted lists (value, id, n, place) of entries (id, n, value): of the ``kept`` values of a document
     the ``most`` rarest, without those that no other document has; ``place`` counts these as well."""
-    often = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = common.materialize(entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")  # as a table, so that a join on it can split a hot value
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "value"))
     alone = kept - F.count(F.lit(1)).over(Window.partitionBy("id"))  # values of one document come first
     return entries.join(often, "value").withColumns({"place": place + alone, "most": most}).filter("place <= most").select("value", "id", "n", "place")
 
 
+def size_class(n: Column) -> Column:
+    """Sizes in classes: each of the small ones alone, then in steps of ``STEP``."""
+    return F.when(n <= EXACT, n).otherwise(EXACT + F.floor(F.log(n / EXACT) / math.log(STEP))).cast("int")
+
+
 def across(marked: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
     """Pairs (a, b) of documents with different labels that may be linked, from lists of full sets (value,
     id, n, place, label).
 
     A pair is made in the first list, by rarity, that both are in; what comes before is not shared, so
-    the places in that list bound the intersection.
+    the places in that list bound the intersection, and with it the sizes that a partner may have. A list
+    is dealt by classes of size, and a stray document meets only those classes: documents of one size that
+    share a passage too small to link them never meet, however many they are.
     """
     mains = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
+    mains = common.materialize(mains.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "mains")
     ranks = marked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("ranked"))
-    split = marked.join(mains.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "value").join(ranks, "id")
-    split = common.materialize(split, "split")
+    split = marked.join(mains, "value").join(ranks, "id")
+    split = common.materialize(split.withColumn("class", size_class(F.col("n"))), "split")
     stray = split.filter("label <> main").select("value", *(F.col(c).alias(f"{c}_p") for c in ("id", "n", "place", "label", "ranked")))
+    # an intersection of at most r makes a link with sizes n and m only if r * (parts + least) >= least * (n + m)
+    rest = F.col("n_p") - F.col("place_p") + 1
+    low, high = F.ceil(F.col("n_p") * least / parts), F.floor(rest * (parts + least) / least) - F.col("n_p")
+    stray = stray.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    stray = stray.withColumn("class", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))))
     apart = (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("id_p") < F.col("id")))
     most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
     fits = most * parts >= (F.col("n") + F.col("n_p") - most) * least
     once = F.get(F.array_intersect("ranked", "ranked_p"), F.lit(0)) == F.col("value")
-    return split.join(stray, "value").filter(apart & fits & once).select(*_two("id_p", "id"))
+    out = common.materialize(split.join(stray, ["value", "class"]).filter(apart & fits & once).select(*_two("id_p", "id")), "rest")
+    common.drop(split, mains)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id of the links (a, b): alternating large and small stars."""
+    """(id, component) for every id of the links (a, b): alternating large and small stars, until nothing moves."""
     edges = common.materialize(links.filter("a <> b").select(*_two("a", "b")).distinct().select(F.col("b").alias("x"), F.col("a").alias("y")), "edges")  # y < x
-    before = None
-    for n in range(MOST_ROUNDS):
+    before, n = None, 0
+    while True:
+        old = edges
         # large star: larger neighbours go to the smallest of neighbours and self
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
@@ -185,53 +211,82 @@ def components(links: DataFrame) -> DataFrame:
         low = edges.groupBy("x").agg(F.min("y").alias("m"))
         edges = edges.join(low, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct(F.col("x"), F.col("m").alias("y")))).alias("e")).select("e.*").filter("x <> y").distinct()
         edges = common.materialize(edges, f"stars{n}")
+        common.drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("x", "y").cast("long")), F.count_distinct("x")).first()
-        if now == before and now[0] == now[2]:
-            break
-        before = now
-    return edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
+        if now == before and now[0] == now[2]:  # one edge to each document, and the same as before
+            out = edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
+            out._scratch = edges._scratch
+            return out
+        before, n = now, n + 1
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, size: int = SKETCH, least: int = LEAST, parts: int = PARTS) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, size: int = SKETCH, least: int = LEAST, parts: int = PARTS, row_col: str | None = None) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept; and ``row_col``, a
+    column of longs that is handed on, if one is named.
 
     Links are pairs of sets of ``shingle`` words with a similarity of ``least / parts`` or more.
     """
     shared = shared_values(size, SHARED, least, parts)
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("binary").alias("data"))
-    own = common.materialize(sketches(df, id_col, text_col, shingle, size), "sketches")
-    classes = own.filter(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    members = common.materialize(own.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "members")
-    firsts = members.filter("id = rep AND n > 0").select("id").distinct()
-    reps = common.materialize(own.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "representatives")
+    row = F.lit(0).cast("long") if row_col is None else df[row_col].cast("long")
+    docs = df.select(df[id_col].cast("long").alias("doc"), df[text_col].cast("binary").alias("data"))
+    own = common.materialize(sketches(df.select(df[id_col].cast("long").alias("doc"), row.alias("row"), df[text_col].cast("binary").alias("data")), shingle, size), "sketches")
+    members = common.materialize(own.select("doc", "row", "n", "digest"), "members")
+    classes = own.filter(F.col("digest").isNotNull() & F.col("doc").isNotNull()).groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows"), F.first(F.struct("n", "sketch")).alias("s"))
+    # the number of a class is given once, as it is written
+    reps = common.materialize(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first").alias("doc"), "digest", "rows", "s.n", "s.sketch"), "representatives")
+    common.drop(own)
 
     entries = reps.select("id", "n", F.explode("sketch").alias("value"))
     lists = common.materialize(lists_of(entries, F.least("n", F.lit(size)), prefix_length(F.col("n"), size, shared, least, parts)), "lists")
 
-    first_ids = F.row_number().over(Window.partitionBy("value").orderBy("id"))
-    leaders = lists.withColumn("r", first_ids).filter(F.col("r") <= LEADERS).select("value", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    fits = (F.col("a") < F.col("id")) & (F.least("n", "n_a") * parts >= F.greatest("n", "n_a") * least)
-    stars = lists.join(leaders, "value").filter(fits).select("a", F.col("id").alias("b")).distinct()
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     known = (F.greatest("n_a", "n_b") <= size).alias("known")
-    likely = common.materialize(stars.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size, least, parts)).select("a", "b", known), "likely")
-    check = likely.filter("NOT known").select("a", "b")
-    sets = sets_of(docs, check.select(F.col("a").alias("id")).union(check.select(F.col("b").alias("id"))), shingle, "stars")
-    first = common.materialize(linked(check, sets, least, parts).union(likely.filter("known").select("a", "b")), "star-links")
+    nodes = reps.select("id", "doc", "digest")
+
+    def likely(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that their union sketches let through."""
+        return common.materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(near_by_sketch(size, least, parts)).select("a", "b", known), name)
 
-    label = common.materialize(components(first).withColumnRenamed("component", "label"), "labels")
-    labelled = lambda rows: rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first_ids = F.row_number().over(Window.partitionBy("value").orderBy("id"))
+    leaders = common.materialize(lists.withColumn("r", first_ids).filter(F.col("r") <= LEADERS).select("value", F.col("id").alias("a"), F.col("n").alias("n_a")), "leaders")
+    fits = (F.col("a") < F.col("id")) & (F.least("n", "n_a") * parts >= F.greatest("n", "n_a") * least)
+    stars = likely(lists.join(leaders, "value").filter(fits).select("a", F.col("id").alias("b")).distinct(), "likely")
+    check = stars.filter("NOT known").select("a", "b")
+    asked = check.select(F.col("a").alias("id")).union(check.select(F.col("b").alias("id"))).distinct()
+    sets = sets_of(docs, nodes.join(asked, "id", "left_semi"), shingle, "stars")
+    first = common.materialize(linked(check, sets, least, parts).union(stars.filter("known").select("a", "b")), "star-links")
+    common.drop(sets, stars, leaders)
+
+    label = components(first)
+    labels = label.withColumnRenamed("component", "label")
+    labelled = lambda rows: rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     marked = common.materialize(labelled(lists).select("value", "id", "label"), "marked")
     several = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("value")
-    open_ = sets_of(docs, marked.join(several, "value").select("id"), shingle, "open")
+    asked = marked.join(several, "value").select("id").distinct()
+    open_ = sets_of(docs, nodes.join(asked, "id", "left_semi"), shingle, "open")
+    common.drop(lists, marked)
     entries = open_.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value"))
     exact = (F.col("n") - F.ceil(F.col("n") * least / parts) + 1).cast("int")
-    rest = common.materialize(across(labelled(lists_of(entries, F.col("n"), exact)), least, parts), "rest")
-    second = common.materialize(linked(rest, open_, least, parts), "rest-links")
+    full = common.materialize(labelled(lists_of(entries, F.col("n"), exact)), "full-lists")
+    pairs = across(full, least, parts)
+    common.drop(full)
+    rest = likely(pairs, "likely-rest")
+    second = common.materialize(linked(rest.filter("NOT known").select("a", "b"), open_, least, parts).union(rest.filter("known").select("a", "b")), "rest-links")
+    common.drop(open_, pairs, rest, label)
 
     groups = components(first.union(second))
-    out = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    common.drop(first, second)
+    # the smallest id of each component's classes; only those, and classes of several rows, have to be told
+    roots = groups.select("component").distinct().select(F.col("component").alias("id"), "component")
+    grouped = common.materialize(nodes.join(groups.unionByName(roots), "id").select("component", "digest", "doc"), "grouped")
+    lowest = grouped.groupBy("component").agg(F.min("doc").alias("low"))
+    told = grouped.join(lowest, "component").select("digest", "low").union(reps.filter("rows > 1").select("digest", "doc"))
+    lows = common.materialize(told.groupBy("digest").agg(F.min("low").alias("low")), "lows")
+    common.drop(groups, reps, grouped)
+    out = members.join(lows, "digest", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("low", "doc"))
+    kept = F.coalesce(F.col("doc") == component, F.lit(True))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -114,3 +114,24 @@ def test_pipeline_threshold(spark):
 def test_bounds_of_the_contract():
     assert (neardup.shared_values(64, neardup.SHARED), neardup.shared_values(64, neardup.LIKELY)) == (36, 38)
     assert (neardup.shared_values(64, neardup.SHARED, 80), neardup.shared_values(64, neardup.LIKELY, 80)) == (31, 33)
+
+
+def test_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(7, a, 0), (7, b, 1), (3, a + " more", 2), (9, b, 3), (2, b + " else", 4), (7, c, 5), (7, a, 6), (5, c.upper(), 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = {r["row"]: (r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, row_col="row").collect()}
+    assert got == {0: (7, 3, False), 1: (7, 2, False), 2: (3, 3, True), 3: (9, 2, False), 4: (2, 2, True), 5: (7, 5, False), 6: (7, 3, False), 7: (5, 5, True)}
+
+
+def test_templates_never_meet(spark):
+    """Documents of one template and three words of their own: none is linked, and no pair is made."""
+    from pyspark.sql import functions as F
+
+    shared = " ".join(f"t{i}" for i in range(30))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared), *(F.concat(F.lit(f" {x}"), "id") for x in "abc")).alias("text"))
+    assert neardup.near_duplicates(df).filter("NOT kept").count() == 0
+    sets = neardup.full_sets(df.select("doc_id", F.col("text").cast("binary").alias("data")).join(neardup.sketches(df.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("data"))).select(F.col("doc").alias("doc_id"), "digest"), "doc_id").withColumnRenamed("doc_id", "id"))
+    lists = neardup.lists_of(sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value")), F.col("n"), (F.col("n") - F.ceil(F.col("n") * 0.85) + 1).cast("int"))
+    made = neardup.across(lists.withColumn("label", F.col("id")))
+    assert lists.groupBy("value").count().agg(F.max("count")).first()[0] == 3000 and made.count() == 0
