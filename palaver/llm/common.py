@@ -67,15 +67,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     with freeing_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path.rpartition("/")[0]
+    out._scratch = [path.rpartition("/")[0]]
+    return out
+
+
+def holding(out: DataFrame, *made: DataFrame) -> DataFrame:
+    """``out``, which reads the frames ``made``: dropping it drops them."""
+    out._scratch = [p for df in made for p in df.__dict__.get("_scratch", [])]
     return out
 
 
 def drop(*made: DataFrame) -> None:
     """Deletes the folders of materialized frames that nothing reads any more."""
     for df in made:
-        path = df.__dict__.pop("_scratch", None)
-        if path:
+        for path in df.__dict__.pop("_scratch", []):
             place, at = _path(df.sparkSession, path)
             place.delete(at, True)
 
