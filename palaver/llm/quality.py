@@ -8,7 +8,7 @@ Statistics depend on the text alone. The model is fitted on at most ``SAMPLE`` l
 those with the smallest hash of their id.
 
 Defined results: a null text counts as empty, and an empty text has all statistics 0; ids and other
-columns are never read by the score; without labels of both kinds every score is the share of label 1
+columns are never read by the score, and columns of any name are handed on; without labels of both kinds every score is the share of label 1
 (1 without labels); repeated rows score alike; an empty table gives an empty result.
 """
 
@@ -61,20 +61,24 @@ def statistics(data: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:
-    """All columns, and the statistics of the text as ``prefix`` and their names."""
-    names = df.columns
-    at = names.index(text_col)
-    plain = df.toDF(*(f"c{i}" for i in range(len(names))))  # names may clash, places can't
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(plain.schema)), *(f"{prefix}{s} double" for s in STATISTICS)])
+def _by_place(df: DataFrame, text_col: str) -> DataFrame:
+    """The columns by place (``common.by_place``), and the statistics of the text as ``q_`` and their names."""
+    plain = common.by_place(df)
+    at = df.columns.index(text_col)
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(plain.schema)), *(f"q_{s} double" for s in STATISTICS)])
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 rows = np.array([statistics(x or b"") for x in part.column(at).cast(pa.binary()).to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(rows[:, i]) for i in range(rows.shape[1]))], [*part.schema.names, *(prefix + s for s in STATISTICS)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(rows[:, i]) for i in range(rows.shape[1]))], [*part.schema.names, *("q_" + s for s in STATISTICS)])
+
+    return plain.mapInArrow(run, schema)
+
 
-    return plain.mapInArrow(run, schema).toDF(*names, *(prefix + s for s in STATISTICS))
+def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:
+    """All columns, and the statistics of the text as ``prefix`` and their names."""
+    return _by_place(df, text_col).toDF(*df.columns, *(prefix + s for s in STATISTICS))
 
 
 @dataclass(frozen=True)
@@ -193,32 +197,40 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, la
 
 
 def sample(labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` labelled ids outside the held-out fold, by the smallest hash of the id."""
+    """At most ``most`` labelled ids outside the held-out fold, by the smallest hash of the id. Where an
+    id has several labels the larger one counts."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold != 0))
-    return rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def fit_rows(stats: DataFrame, picked: DataFrame, most: int = SAMPLE) -> Model:
+    """Fits on rows (doc_id and statistics) that ``picked`` (doc_id, y) labels. Of rows that repeat an id
+    those with the smallest statistics count, so that reruns agree."""
+    q = [f"q_{s}" for s in STATISTICS]
+    rows = stats.select("doc_id", *q).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.array(*q)).alias("x"))
+    rows = rows.orderBy("doc_id").limit(most).toPandas()
+    return fit(np.array(rows["x"].tolist(), np.float64).reshape(-1, len(q)), rows["y"].to_numpy())
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """Fits on the sampled documents; the sample is bounded, so it is broadcast and fitted on the driver."""
-    picked = F.broadcast(sample(labels, "quality", most))
-    rows = with_statistics(docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "text", "y"))
-    rows = rows.drop("text").dropDuplicates(["doc_id"]).limit(most).toPandas().sort_values("doc_id")
-    return fit(rows[[f"q_{s}" for s in STATISTICS]].to_numpy(np.float64), rows["y"].to_numpy())
+    picked = sample(labels, "quality", most)
+    asked = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+    return fit_rows(with_statistics(asked), picked, most)
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str, cut: float = CUT) -> DataFrame:
     """The documents that the classifier does not reject."""
     model = train(docs, common.table(spark, sf_dir, "labels"))
-    return with_statistics(docs).filter(model.column() >= cut).select(*docs.columns)
+    names = docs.columns
+    return _by_place(docs, "text").filter(model.column() >= cut).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     stats = common.materialize(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
-    picked = F.broadcast(sample(common.table(spark, sf_dir, "labels"), "quality"))
-    rows = stats.join(picked, "doc_id").dropDuplicates(["doc_id"]).limit(SAMPLE).toPandas().sort_values("doc_id")
-    model = fit(rows[[f"q_{s}" for s in STATISTICS]].to_numpy(np.float64), rows["y"].to_numpy())
+    model = fit_rows(stats, sample(common.table(spark, sf_dir, "labels"), "quality"))
     score = model.column()
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return stats.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
