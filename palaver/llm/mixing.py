@@ -3,10 +3,12 @@
 A source's target over its size is the number of copies each of its documents should have. The whole
 part is given to all of them; the fractions are rounded by the pivotal method: two fractions meet,
 and mass, here words, moves at random from one to the other until one of them is 0 or 1; the other
-goes on. The expected copies stay what they were, and the words of both together are kept, so that
-of a source only the words of the last open document are off its target. Documents meet in the order
-of falling size, so that the last one is small; a draw after which a large one is still open is drawn
-again (``NEAR``, ``DRAWS``).
+goes on. The expected copies of every document stay what they were, and the words of both together
+are kept, so that of a source only the words of the last open document are off its target. In a leaf
+the documents come in order of falling size, and each meets all smaller ones, which have one fraction
+in common and so are one unit: what a large document takes or leaves is spread over many small ones,
+and the one left open is the smallest, unless a single document outweighs all others. There is one
+draw and no choice among draws, which would favour some documents.
 
 The leaves of the reduction tree are blocks of about ``LEAF`` documents of one source, by a hash of
 the id. Each leaf leaves at most one open fraction. Open fractions of neighbouring leaves meet
@@ -34,8 +36,6 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 LEAF, FAN = 2048, 32
 SEED = 20_011
-#: A draw that leaves more than this share of the words open is drawn again, so many times at most.
-NEAR, DRAWS = 0.002, 24
 
 
 def words(text: Column) -> Column:
@@ -48,6 +48,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def row_key(row_id: Column, source: Column, text: Column) -> Column:
+    """A number for a row by its id, source and text; rows alike in these share it."""
+    return F.xxhash64(row_id, source_key(source.cast("string")), text)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Per source (key ``k``): source_size, docs and target, from rows with source and size.
 
@@ -103,25 +108,44 @@ def pivot(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
     return np.array(p), first
 
 
+def pivot_together(fraction: float, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
+    """As :func:`pivot` for documents with one fraction, by falling size: each meets all after it as one unit."""
+    sizes = size.tolist()
+    p = [0.0] * len(sizes)
+    n = sum(s > 0 for s in sizes)  # those without words come last and take nothing
+    rest, share = float(sum(sizes[:n])), float(fraction)
+    for i in range(n):
+        t = sizes[i]
+        rest -= t
+        if share <= 1e-12 or share >= 1 - 1e-12 or not rest:
+            if share <= 1e-12 or share >= 1 - 1e-12:
+                p[i:n] = [float(round(share))] * (n - i)
+                return np.array(p), -1
+            p[i] = share
+            return np.array(p), i
+        fill, drain = (1 - share) * t, share * t
+        most, least = min(fill, share * rest), min(drain, (1 - share) * rest)
+        moved = most if u[i] * (most + least) < least else -least
+        p[i] = share + moved / t
+        share -= moved / rest
+        if 1e-12 < p[i] < 1 - 1e-12:  # the others are all taken or all left
+            p[i + 1 : n] = [float(round(share))] * (n - i - 1)
+            return np.array(p), i
+        p[i] = float(round(p[i]))
+    return np.array(p), -1
+
+
 ROW = "doc_id {id}, k string, size long, source_size long, target double, base int, p double, key long, bucket long, open boolean"
 
 
-def _round_group(last: bool):
+def _round_group(leaf: bool, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "key", "p"], ascending=False, kind="stable", ignore_index=True)
         keys, size, fraction = rows["key"].to_numpy(np.int64).view(np.uint64), rows["size"].to_numpy(np.int64), rows["p"].to_numpy(np.float64)
-        best = None
         with np.errstate(over="ignore"):
-            place = keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(keys), dtype=np.uint64)
+            u = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(keys), dtype=np.uint64) + np.uint64(SEED)) / 2.0**64
             alone = _mixed(keys ^ np.uint64(SEED * 2_654_435_761)) / 2.0**64
-            for draw in range(DRAWS):
-                p, at = pivot(fraction, size, _mixed(place + np.uint64(SEED + draw)) / 2.0**64)
-                off = size[at] * min(p[at], 1 - p[at]) if at >= 0 else 0.0
-                if best is None or off < best[0]:
-                    best = off, p, at
-                if off <= NEAR * (fraction * size).sum():
-                    break
-        _, p, at = best
+        p, at = pivot_together(fraction[0], size, u) if leaf else pivot(fraction, size, u)
         if last and at >= 0:
             p[at], at = float(alone[at] < p[at]), -1
         rows["p"] = p
@@ -132,14 +156,17 @@ def _round_group(last: bool):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """Per row: doc_id, k (key of the source), size, source_size, target, copies, taken."""
+    """Per row: doc_id, k (key of the source), size, source_size, target, copies, key (:func:`row_key`), taken."""
     source = docs[source_col].cast("string")
-    sizes = docs.select(docs[id_col].alias("doc_id"), source.alias("source"), source_key(source).alias("k"), words(docs[text_col]).alias("size"))
+    sizes = docs.select(
+        docs[id_col].alias("doc_id"), source.alias("source"), source_key(source).alias("k"), words(docs[text_col]).alias("size"),
+        row_key(docs[id_col], docs[source_col], docs[text_col]).alias("key"),
+    )
     sizes = common.materialize(sizes, "sizes")
     id_kind = sizes.schema["doc_id"].dataType.simpleString()
     goal = common.materialize(targets(sizes, weights, most), "targets")
     ratio = F.least(F.lit(float(most)), F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
-    rows = sizes.join(goal, "k").withColumns({"ratio": ratio, "key": F.xxhash64("doc_id", "k", "size"), "blocks": F.ceil(F.col("docs") / LEAF)})
+    rows = sizes.join(goal, "k").withColumns({"ratio": ratio, "blocks": F.ceil(F.col("docs") / LEAF)})
     rows = rows.select(
         "doc_id", "k", "size", "source_size", "target", F.floor("ratio").cast("int").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("p"), "key",
         F.pmod(F.xxhash64(F.col("key"), F.lit(SEED)), F.col("blocks")).alias("bucket"), F.lit(True).alias("open"),
@@ -148,15 +175,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     leaves = goal.agg(F.max(F.ceil(F.col("docs") / LEAF))).first()[0] or 1
     levels = max(1, math.ceil(math.log(leaves, FAN) - 1e-9))
     out = None
-    step = common.materialize(rows.groupBy("k", "bucket").applyInPandas(_round_group(False), schema), "leaves")
+    steps = [step := common.materialize(rows.groupBy("k", "bucket").applyInPandas(_round_group(True, False), schema), "leaves")]
     for n in range(levels):
         done = step.filter(~F.col("open"))
         out = out.unionByName(done) if out is not None else done
         upper = step.filter("open").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
-        step = common.materialize(upper.groupBy("k", "bucket").applyInPandas(_round_group(n == levels - 1), schema), f"level{n}")
+        steps.append(step := common.materialize(upper.groupBy("k", "bucket").applyInPandas(_round_group(False, n == levels - 1), schema), f"level{n}"))
     out = out.unionByName(step)
+    common.drop(sizes, goal)
     copies = (F.col("base") + F.round("p").cast("int")).alias("copies")
-    return out.select("doc_id", "k", "size", "source_size", "target", copies, "key").withColumn("taken", F.col("copies") * F.col("size"))
+    out = out.select("doc_id", "k", "size", "source_size", "target", copies, "key").withColumn("taken", F.col("copies") * F.col("size"))
+    return common.holding(out, *steps)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
