@@ -14,9 +14,9 @@ pairs at the threshold miss them with a chance below ``SHARED``.
 links found label the documents by component. Documents of lists with several labels are listed again,
 now by their full sets: by rarity among themselves, and only as many values as a link at the threshold
 must share one of, which leaves out most that have no partner. In these lists the documents whose label
-is not the list's most frequent one meet those with another label, so that no link between parts that are
-not yet known to belong together is left out; each list is dealt by sizes (:func:`across`). Pairs within a
-part are never made.
+is not the list's most frequent one, the strays, meet a few of the latter in turns, while that halves their
+number; what is left meets all those with another label, so that no link between parts that are not yet
+known to belong together is left out (:func:`across`). Pairs within a part are never made.
 
 *Filter and check*, in both steps. A pair's union sketch, the smallest values of both sketches together, estimates the
 overlap; pairs below what the threshold makes likely go (pairs at the threshold with a chance below
@@ -45,6 +45,8 @@ SHINGLE, SKETCH, LEADERS = 3, 64, 8
 SHARED, LIKELY = 1e-8, 2e-7
 #: Link when PARTS * intersection >= LEAST * union, unless the caller asks for another similarity.
 PARTS, LEAST = 100, 85
+#: Documents of a list's main label and of one class of sizes that strays meet in a turn.
+FEW = 16
 #: Sizes up to the first are classes of their own, larger ones grow by the second.
 EXACT, STEP = 64, 1.02
 #: Ids sent to all executors at most (about 100 bytes each with what goes with them).
@@ -168,35 +170,55 @@ def size_class(n: Column) -> Column:
     return F.when(n <= EXACT, n).otherwise(EXACT + F.floor(F.log(n / EXACT) / math.log(STEP))).cast("int")
 
 
-def across(marked: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
-    """Pairs (a, b) of documents with different labels that may be linked, from lists of full sets (value,
-    id, n, place, label).
-
-    A pair is made in the first list, by rarity, that both are in; what comes before is not shared, so
-    the places in that list bound the intersection, and with it the sizes that a partner may have. A list
-    is dealt by classes of size, and a stray document meets only those classes: documents of one size that
-    share a passage too small to link them never meet, however many they are.
-    """
+def split_lists(marked: DataFrame) -> DataFrame:
+    """Of lists of full sets (value, id, n, place, label) those with several labels, with the most frequent
+    one (``main``), the class of a document's size, and all its values in the lists by rarity (``ranked``)."""
     mains = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max(F.struct("c", (-F.col("label")).alias("m"))).alias("top"), F.count(F.lit(1)).alias("k"))
     mains = common.materialize(mains.filter("k > 1").select("value", (-F.col("top.m")).alias("main")), "mains")
     ranks = marked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("ranked"))
-    split = marked.join(mains, "value").join(ranks, "id")
-    split = common.materialize(split.withColumn("class", size_class(F.col("n"))), "split")
-    stray = split.filter("label <> main").select("value", *(F.col(c).alias(f"{c}_p") for c in ("id", "n", "place", "label", "ranked")))
-    # an intersection of at most r makes a link with sizes n and m only if r * (parts + least) >= least * (n + m)
-    rest = F.col("n_p") - F.col("place_p") + 1
-    low, high = F.ceil(F.col("n_p") * least / parts), F.floor(rest * (parts + least) / least) - F.col("n_p")
-    stray = stray.withColumn("low", low).withColumn("high", high).filter("low <= high")
-    stray = stray.withColumn("class", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))))
-    apart = (F.col("label") != F.col("label_p")) & ((F.col("label") == F.col("main")) | (F.col("id_p") < F.col("id")))
-    most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
-    fits = most * parts >= (F.col("n") + F.col("n_p") - most) * least
-    once = F.get(F.array_intersect("ranked", "ranked_p"), F.lit(0)) == F.col("value")
-    out = common.materialize(split.join(stray, ["value", "class"]).filter(apart & fits & once).select(*_two("id_p", "id")), "rest")
-    common.drop(split, mains)
+    out = common.materialize(marked.join(mains, "value").join(ranks, "id").withColumn("class", size_class(F.col("n"))), "split")
+    common.drop(mains)
     return out
 
 
+def _strays(split: DataFrame, least: int, parts: int) -> DataFrame:
+    """Documents without a list's main label, once for each class of sizes that a partner may be of.
+
+    What comes before the first list that both are in is not shared, so the places there bound the
+    intersection: with at most r, sizes n and m are linked only if r * (parts + least) >= least * (n + m).
+    """
+    out = split.filter("label <> main").select("value", *(F.col(c).alias(f"{c}_p") for c in ("id", "n", "place", "label", "ranked")))
+    most = F.col("n_p") - F.col("place_p") + 1
+    low, high = F.ceil(F.col("n_p") * least / parts), F.floor(most * (parts + least) / least) - F.col("n_p")
+    out = out.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    return out.withColumn("class", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))))
+
+
+def _fits(least: int, parts: int) -> Column:
+    most = F.least(F.col("n") - F.col("place"), F.col("n_p") - F.col("place_p")) + 1
+    return (most * parts >= (F.col("n") + F.col("n_p") - most) * least) & (F.col("label") != F.col("label_p"))
+
+
+def towards(split: DataFrame, turn: int, least: int = LEAST, parts: int = PARTS) -> DataFrame:
+    """Pairs (a, b) of strays with a few documents of their lists' main label, others at each turn."""
+    nth = F.row_number().over(Window.partitionBy("value", "class").orderBy("place", F.xxhash64("id", F.lit(turn)), "id"))
+    some = split.filter("label = main").select("value", "class", "id", "n", "place", "label").withColumn("nth", nth).filter(F.col("nth") <= FEW)
+    some = common.materialize(some, "some")
+    pairs = common.materialize(_strays(split, least, parts).drop("ranked_p").join(some, ["value", "class"]).filter(_fits(least, parts)).select(*_two("id_p", "id")).distinct(), "towards")
+    common.drop(some)
+    return pairs
+
+
+def across(split: DataFrame, least: int = LEAST, parts: int = PARTS) -> DataFrame:
+    """All pairs (a, b) of documents with different labels that may be linked, each from the first list, by
+    rarity, that both are in. A list is dealt by classes of size, and a stray document meets only those that
+    its place allows: documents of one size that share a passage too small to link them never meet."""
+    once = (F.col("label") == F.col("main")) | (F.col("id_p") < F.col("id"))  # two strays meet both ways
+    first = F.get(F.array_intersect("ranked", "ranked_p"), F.lit(0)) == F.col("value")
+    pairs = split.join(_strays(split, least, parts), ["value", "class"]).filter(_fits(least, parts) & once & first)
+    return common.materialize(pairs.select(*_two("id_p", "id")), "rest")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of the links (a, b): alternating large and small stars, until nothing moves."""
     edges = common.materialize(links.filter("a <> b").select(*_two("a", "b")).distinct().select(F.col("b").alias("x"), F.col("a").alias("y")), "edges")  # y < x
@@ -214,15 +236,13 @@ def components(links: DataFrame) -> DataFrame:
         common.drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("x", "y").cast("long")), F.count_distinct("x")).first()
         if now == before and now[0] == now[2]:  # one edge to each document, and the same as before
-            out = edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
-            out._scratch = edges._scratch
-            return out
+            return common.holding(edges.select(F.col("x").alias("id"), F.col("y").alias("component")), edges)
         before, n = now, n + 1
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, size: int = SKETCH, least: int = LEAST, parts: int = PARTS, row_col: str | None = None) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept; and ``row_col``, a
-    column of longs that is handed on, if one is named.
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept. If ``row_col``
+    names a column of longs, that is handed on, and ``group`` tells the component where ids repeat (null for empty sets).
 
     Links are pairs of sets of ``shingle`` words with a similarity of ``least / parts`` or more.
     """
@@ -258,8 +278,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common.drop(sets, stars, leaders)
 
     label = components(first)
-    labels = label.withColumnRenamed("component", "label")
-    labelled = lambda rows: rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    common.drop(first)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(label.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
     marked = common.materialize(labelled(lists).select("value", "id", "label"), "marked")
     several = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("value")
     asked = marked.join(several, "value").select("id").distinct()
@@ -267,26 +290,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common.drop(lists, marked)
     entries = open_.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value"))
     exact = (F.col("n") - F.ceil(F.col("n") * least / parts) + 1).cast("int")
-    full = common.materialize(labelled(lists_of(entries, F.col("n"), exact)), "full-lists")
-    pairs = across(full, least, parts)
-    common.drop(full)
-    rest = likely(pairs, "likely-rest")
-    second = common.materialize(linked(rest.filter("NOT known").select("a", "b"), open_, least, parts).union(rest.filter("known").select("a", "b")), "rest-links")
-    common.drop(open_, pairs, rest, label)
-
-    groups = components(first.union(second))
-    common.drop(first, second)
+    full = common.materialize(lists_of(entries, F.col("n"), exact), "full-lists")
+    before, turn = None, 0
+    while True:
+        split = split_lists(labelled(full))
+        strays = split.filter("label <> main").agg(F.count_distinct("id")).first()[0]
+        last = before is not None and 2 * strays > before  # the turns no longer help
+        pairs = across(split, least, parts) if last or not strays else towards(split, turn, least, parts)
+        rest = likely(pairs, "likely-rest")
+        links = common.materialize(linked(rest.filter("NOT known").select("a", "b"), open_, least, parts).union(rest.filter("known").select("a", "b")), "rest-links")
+        old, label = label, components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+        common.drop(split, pairs, rest, links, old)
+        if last or not strays:
+            break
+        before, turn = strays, turn + 1
+    groups = label
+    common.drop(open_, full)
     # the smallest id of each component's classes; only those, and classes of several rows, have to be told
     roots = groups.select("component").distinct().select(F.col("component").alias("id"), "component")
     grouped = common.materialize(nodes.join(groups.unionByName(roots), "id").select("component", "digest", "doc"), "grouped")
-    lowest = grouped.groupBy("component").agg(F.min("doc").alias("low"))
-    told = grouped.join(lowest, "component").select("digest", "low").union(reps.filter("rows > 1").select("digest", "doc"))
-    lows = common.materialize(told.groupBy("digest").agg(F.min("low").alias("low")), "lows")
+    lowest = grouped.groupBy("component").agg(F.min("doc").alias("low"), F.min("digest").alias("group"))
+    told = grouped.join(lowest, "component").select("digest", "low", "group").union(reps.filter("rows > 1").select("digest", "doc", "digest"))
+    lows = common.materialize(told.groupBy("digest").agg(F.min("low").alias("low"), F.min("group").alias("group")), "lows")
     common.drop(groups, reps, grouped)
     out = members.join(lows, "digest", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("low", "doc"))
     kept = F.coalesce(F.col("doc") == component, F.lit(True))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
+    out = out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *([F.col("row").alias(row_col), F.coalesce("group", "digest").alias("group")] if row_col else []))
+    return common.holding(out, members, lows)
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

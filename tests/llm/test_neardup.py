@@ -133,5 +133,6 @@ def test_templates_never_meet(spark):
     assert neardup.near_duplicates(df).filter("NOT kept").count() == 0
     sets = neardup.full_sets(df.select("doc_id", F.col("text").cast("binary").alias("data")).join(neardup.sketches(df.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("data"))).select(F.col("doc").alias("doc_id"), "digest"), "doc_id").withColumnRenamed("doc_id", "id"))
     lists = neardup.lists_of(sets.select("id", F.size("items").cast("long").alias("n"), F.explode("items").alias("value")), F.col("n"), (F.col("n") - F.ceil(F.col("n") * 0.85) + 1).cast("int"))
-    made = neardup.across(lists.withColumn("label", F.col("id")))
+    split = neardup.split_lists(lists.withColumn("label", F.col("id")))
+    made = neardup.across(split).union(neardup.towards(split, 0))
     assert lists.groupBy("value").count().agg(F.max("count")).first()[0] == 3000 and made.count() == 0
