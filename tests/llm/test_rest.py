@@ -366,6 +366,38 @@ def test_ann_recall(spark):
     assert hit / (20 * 30) >= 0.9 and got["query_id"].nunique() == 30 and got["vec_id"].max() < 2000
 
 
+def test_ann_embeddings(spark):
+    """Recall on the table, and how little of it is verified."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    best, share = ann.passes(df, df.filter("vec_id % 20 = 0"), "vec_id", "embedding", 20, ann.LINES)
+    rows = df.toPandas()
+    x, ids = np.array(rows["embedding"].tolist(), np.float64), rows["vec_id"].to_numpy()
+    at = {i: n for n, i in enumerate(ids)}
+    hit, queries = 0, 0
+    for q, g in best.toPandas().groupby("query_id"):
+        s = x @ x[at[q]]
+        s[at[q]] = -math.inf
+        hit += len(set(ids[np.argsort(-s)[:20]]) & set(g["vec_id"]))
+        queries += 1
+    assert queries == (ids % 20 == 0).sum() and hit / (20 * queries) >= 0.95 and share < 0.5
+
+
+def test_ann_passes_and_norms(spark, monkeypatch):
+    """Many small blocks of unlike norms: bounds leave blocks out, and ties go to the smaller id."""
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1200, 16)) * np.exp(rng.standard_normal((1200, 1)))
+    x[600:700] = x[600]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    best, share = ann.passes(df, df.filter("vec_id % 40 = 0"), "vec_id", "embedding", 20, ann.LINES)
+    hit = 0
+    for q, g in best.toPandas().groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -math.inf
+        hit += len(set(np.lexsort((np.arange(1200), -s))[:20]) & set(g["vec_id"]))
+    assert hit / (20 * 30) >= 0.95 and share < 0.4
+
+
 def test_ann_edges(spark):
     schema = "vec_id long, embedding array<float>"
     empty = spark.createDataFrame([], schema)
