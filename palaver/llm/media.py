@@ -3,11 +3,12 @@
 :func:`write` stores bytes losslessly as 8-bit mono sound: a sample is one frame of ``FRAME`` bytes,
 ``CHUNK`` samples make a chunk, and the first sample of each chunk is listed as a sync sample.
 :func:`probe` walks the nested boxes of any such file, decodes the sample tables of its tracks and
-gives codec, duration and the byte ranges of sync samples; it touches no payload. :func:`payload`
-reads the bytes of all samples by the ranges in the tables.
+gives codec, duration and the byte ranges of sync samples; it touches no payload. Samples of movie
+fragments follow those of the tables. :func:`payload` reads the bytes of all samples by these ranges.
 
 Defined results: a null value probes as a null codec with ``error`` "empty"; a file that is cut off
-or contradicts itself gives its ``error`` and no ranges; files are handled row by row.
+or contradicts itself (a count that its bytes can't hold, a sample beyond the end) gives its ``error`` and no
+ranges; files are handled row by row, equal ones alike.
 """
 
 from __future__ import annotations
@@ -139,16 +140,83 @@ def _array(data: memoryview, span: tuple[int, int], skip: int, kind: str, column
     return np.frombuffer(data, kind, n * columns, at + 4).astype(np.int64).reshape(n, columns)
 
 
-def track(data: memoryview, trak: list) -> dict:
+def _fields(data: memoryview, span: tuple[int, int], skip: int, kind: str) -> tuple:
+    """Fields of a box, ``skip`` bytes into its body."""
+    if span[0] + skip + struct.calcsize(kind) > span[1]:
+        raise Malformed("a box too small for its fields")
+    return struct.unpack_from(kind, data, span[0] + skip)
+
+
+#: Marks of a fragment's track header and run, and of a sample that depends on others.
+BASE, DESCRIPTION, DURATION, SIZE, FLAGS = 0x1, 0x2, 0x8, 0x10, 0x20
+RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+DEPENDS = 0x10000
+
+
+def _optional(data: memoryview, span: tuple[int, int], skip: int, marks: int, kinds: dict[int, str]) -> tuple[dict[int, int], int]:
+    """Fields that are there where their mark is set, in order, and how far they go."""
+    out = {}
+    for mark, kind in kinds.items():
+        if marks & mark:
+            (out[mark],) = _fields(data, span, skip, kind)
+            skip += struct.calcsize(kind)
+    return out, skip
+
+
+def fragments(data: memoryview, tree: list, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, sizes, durations and sync marks of a track's samples in movie fragments."""
+    given = {}
+    for _, a, b, _ in _find(tree, b"moov", b"mvex", b"trex"):
+        trex = _fields(data, (a, b), 4, ">IIIII")
+        given[trex[0]] = dict(zip((DURATION, SIZE, FLAGS), trex[2:], strict=True))
+    offsets, sizes, lengths, sync = [], [], [], []
+    for kind, body, _, nodes in tree:
+        if kind != b"moof":
+            continue
+        end = moof = body - 8
+        for _, _, _, traf in _find(nodes, b"traf"):
+            tfhd = _one(traf, b"tfhd")
+            if tfhd is None:
+                raise Malformed("a fragment without a track header")
+            marks, of = _fields(data, tfhd, 0, ">II")
+            own, _ = _optional(data, tfhd, 8, marks, {BASE: ">Q", DESCRIPTION: ">I", DURATION: ">I", SIZE: ">I", FLAGS: ">I"})
+            use = given.get(of, {}) | own
+            base = own.get(BASE, moof if marks & 0x20000 or end == moof else end)
+            end = base
+            for _, a, b, _ in _find(traf, b"trun"):
+                marks, n = _fields(data, (a, b), 0, ">II")
+                run, at = _optional(data, (a, b), 8, marks, {RUN_OFFSET: ">i", RUN_FIRST: ">I"})
+                columns = [m for m in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if marks & m]
+                if a + at + 4 * n * len(columns) > b or (not columns and n > len(data)):
+                    raise Malformed("a run cut off")
+                table = np.frombuffer(data, ">u4", n * len(columns), a + at).astype(np.int64).reshape(n, len(columns)) if columns else np.zeros((n, 0), np.int64)
+                column = lambda m, default: table[:, columns.index(m)] if m in columns else np.full(n, use.get(default, 0), np.int64)  # noqa: E731, B023
+                size, flags = column(RUN_SIZE, SIZE), column(RUN_FLAGS, FLAGS).copy()
+                if RUN_FIRST in run and n:
+                    flags[0] = run[RUN_FIRST]
+                start = base + run[RUN_OFFSET] if RUN_OFFSET in run else end
+                ends = start + np.cumsum(size)
+                end = int(ends[-1]) if n else start
+                if of == number:
+                    for whole, part in zip((offsets, sizes, lengths, sync), (ends - size, size, column(RUN_DURATION, DURATION), flags & DEPENDS == 0), strict=True):
+                        whole.append(part)
+    if not offsets:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in (offsets, sizes, lengths, sync))
+
+
+def track(data: memoryview, trak: list, tree: list) -> dict:
     """Codec, timing and the place of every sample of one track."""
     need = {k: _one(trak, b"mdia", b"minf", b"stbl", k) for k in (b"stsd", b"stts", b"stsc", b"stsz")}
     mdhd = _one(trak, b"mdia", b"mdhd")
     if mdhd is None or None in need.values():
         raise Malformed("a sample table is missing")
-    version = data[mdhd[0]]
-    scale, duration = struct.unpack_from(">IQ" if version else ">II", data, mdhd[0] + (20 if version else 12))
-    codec = bytes(data[need[b"stsd"][0] + 12 : need[b"stsd"][0] + 16]).decode("latin-1")
-    fixed, count = struct.unpack_from(">II", data, need[b"stsz"][0] + 4)
+    version = _fields(data, mdhd, 0, ">B")[0]
+    scale, duration = _fields(data, mdhd, 20 if version else 12, ">IQ" if version else ">II")
+    codec = _fields(data, need[b"stsd"], 12, "4s")[0].decode("latin-1")
+    fixed, count = _fields(data, need[b"stsz"], 4, ">II")
+    if fixed * count > len(data):
+        raise Malformed("more samples than the file holds")
     sizes = np.full(count, fixed, np.int64) if fixed else _array(data, need[b"stsz"], 4, ">u4")[:, 0]
     times = _array(data, need[b"stts"], 0, ">u4", 2)
     if times[:, 0].sum() != len(sizes):
@@ -169,19 +237,27 @@ def track(data: memoryview, trak: list) -> dict:
     before = np.cumsum(sizes) - sizes
     start_of_chunk = before[np.minimum(np.cumsum(per) - per, max(len(sizes) - 1, 0))] if len(sizes) else before
     offsets = chunks[chunk] + before - start_of_chunk[chunk]
-    if len(sizes) and int((offsets + sizes).max()) > len(data):
-        raise Malformed("a sample lies beyond the end")
     stss = _one(trak, b"mdia", b"minf", b"stbl", b"stss")
     sync = _array(data, stss, 0, ">u4")[:, 0] - 1 if stss else np.arange(len(sizes))
     if len(sync) and (sync.min() < 0 or sync.max() >= len(sizes)):
         raise Malformed("a sync sample that isn't there")
+    tkhd = _one(trak, b"tkhd")
+    number = _fields(data, tkhd, 20 if _fields(data, tkhd, 0, ">B")[0] else 12, ">I")[0] if tkhd else 0
+    more = fragments(data, tree, number)
+    if len(more[0]):
+        sync = np.append(sync, len(sizes) + np.flatnonzero(more[3]))
+        offsets, sizes, deltas = (np.append(x, y) for x, y in zip((offsets, sizes, deltas), more[:3], strict=True))
+        duration = max(duration, int(deltas.sum()))
+    if len(sizes) and (int(offsets.min()) < 0 or int((offsets + sizes).max()) > len(data)):
+        raise Malformed("a sample lies beyond the end")
     return {"codec": codec, "timescale": scale, "duration": duration, "offsets": offsets, "sizes": sizes, "starts": np.cumsum(deltas) - deltas, "sync": sync}
 
 
 def tracks(media: bytes) -> list[dict]:
     data = memoryview(media)
     try:
-        return [track(data, node[3]) for node in _find(_tree(data), b"moov", b"trak")]
+        tree = _tree(data)
+        return [track(data, node[3], tree) for node in _find(tree, b"moov", b"trak")]
     except struct.error as e:
         raise Malformed(str(e)) from e
 
@@ -212,49 +288,55 @@ def write(df: DataFrame, id_col: str, data_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), df[data_col].cast("binary").alias("data")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
+KEYFRAMES = "array<struct<offset: bigint, length: bigint, seconds: double>>"
+_KEYS = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("seconds", pa.float64())]))
+
+
+def keyframes(t: dict) -> list[dict]:
+    scale = t["timescale"] or 1
+    return [{"offset": int(t["offsets"][i]), "length": int(t["sizes"][i]), "seconds": int(t["starts"][i]) / scale} for i in t["sync"]]
+
+
 def probe(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """One row per file, of its first track: codec, duration in seconds, number of samples, and the sync
-    samples as (offset, length, seconds). No payload is read."""
+    """A row per track: its number from 1, codec, duration in seconds, number of samples, and the sync
+    samples as (offset, length, seconds). A file in error has one row without a track. No payload is read."""
 
-    def told(media: bytes | None) -> tuple:
+    def told(media: bytes | None) -> list[tuple]:
         if not media:
-            return None, None, None, None, "empty"
+            return [(None, None, None, None, None, "empty")]
         try:
             found = tracks(media)
         except Malformed as e:
-            return None, None, None, None, str(e)
+            return [(None, None, None, None, None, str(e))]
         if not found:
-            return None, None, None, None, "no track"
-        t = found[0]
-        scale = t["timescale"] or 1
-        key = [{"offset": int(t["offsets"][i]), "length": int(t["sizes"][i]), "seconds": int(t["starts"][i]) / scale} for i in t["sync"]]
-        return t["codec"], t["duration"] / scale, len(t["sizes"]), key, None
+            return [(None, None, None, None, None, "no track")]
+        return [(i, t["codec"], t["duration"] / (t["timescale"] or 1), len(t["sizes"]), keyframes(t), None) for i, t in enumerate(found, 1)]
 
-    keys = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("seconds", pa.float64())]))
+    kinds = (pa.int32(), pa.string(), pa.float64(), pa.int64(), _KEYS, pa.string())
 
     def run(batches):
         for batch in batches:
-            rows = [told(x) for x in batch.column(1).to_pylist()]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.int64(), keys, pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "codec", "duration", "n_samples", "keyframes", "error"])
+            rows = [(i, *r) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in told(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds, 1))], ["id", "track", "codec", "duration", "n_samples", "keyframes", "error"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, codec string, duration double, n_samples long, keyframes array<struct<offset: bigint, length: bigint, seconds: double>>, error string"
+    schema = f"id {kind}, track int, codec string, duration double, n_samples long, keyframes {KEYFRAMES}, error string"
     return df.select(df[id_col].alias("id"), df[media_col].alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """What the stored files hold, read by their sample tables: digests, and a summary of boxes as ``feature``."""
+    """What the stored files hold, read by their sample tables: digests, a summary of boxes as ``feature``,
+    and codec, duration in seconds and the byte ranges of sync samples."""
 
     def told(n: int, media: bytes) -> tuple:
         (t,) = tracks(media)
         data = b"".join(media[a:b] for a, b in ranges(t))
         keys = np.stack([t["offsets"][t["sync"]], t["sizes"][t["sync"]]])
         feature = f"{t['codec'].strip()};{t['duration']}/{t['timescale']};samples={len(t['sizes'])};keyframes={keys.shape[1]}@{zlib.crc32(keys.tobytes()):08x}"
-        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, t["codec"].strip(), t["duration"] / t["timescale"], keyframes(t)
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "keyframes"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), _KEYS]
 
     def run(batches):
         for batch in batches:
@@ -262,7 +344,7 @@ def digests(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["id", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, keyframes {KEYFRAMES}"
     return df.select(df[id_col].alias("id"), df["n_bytes"], df[media_col].alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

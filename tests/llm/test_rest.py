@@ -47,6 +47,76 @@ def test_media_probe_of_nothing(spark):
     assert {r["id"]: r["error"] is not None for r in media.probe(df, "id").collect()} == {1: True, 2: True, 3: True, 4: True}
 
 
+def test_media_query(spark, small):
+    """Every column of the query against plain Python, from the stored bytes alone."""
+    import zlib
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    told = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = media.op2_media_columns(spark, small).collect()
+    assert len(rows) == len(told)
+    for r in rows:
+        data = (told[r["doc_id"]] or "").encode()
+        full = data + b" " * (-len(data) % 192 if data else 192)
+        stored = media.file_of(full)
+        keys = [{"offset": k["offset"], "length": k["length"]} for k in r["keyframes"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(full), SHA(full), zlib.crc32(full[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], stored.endswith(full)) == (len(stored), SHA(stored), True)
+        begin = len(stored) - len(full)
+        assert keys == [{"offset": begin + i, "length": 192} for i in range(0, len(full), 192 * 16)] and r["duration"] == len(full) / 8000
+        assert b"".join(stored[k["offset"] : k["offset"] + 192] for k in keys) == b"".join(full[i : i + 192] for i in range(0, len(full), 192 * 16))
+        assert r["feature"].startswith(f"raw;{len(full)}/8000;samples={len(full) // 192};keyframes={len(keys)}@")
+
+
+def test_media_hostile(spark):
+    import struct
+
+    whole = media.file_of(bytes(192 * 40))
+    at = whole.index(b"stsz")
+    many = whole[: at + 8] + struct.pack(">II", 1, 0xFFFFFFFF) + whole[at + 16 :]
+    at = whole.index(b"mdhd")
+    empty = media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"mdhd"), media._box(b"minf", media._box(b"stbl", *(media._box(k) for k in (b"stsd", b"stts", b"stsc", b"stsz")))))))
+    df = spark.createDataFrame([(1, many), (2, empty), (3, whole)], "id long, media binary")
+    got = {r["id"]: r for r in media.probe(df, "id").collect()}
+    assert got[1]["error"] and got[2]["error"] and got[3]["error"] is None and got[3]["track"] == 1
+    rng = np.random.default_rng(0)
+    for _ in range(300):  # any damage is told as such or harmless
+        bad = bytearray(whole[:700])
+        for i in rng.integers(0, 600, 3):
+            bad[i] = rng.integers(0, 256)
+        try:
+            media.payload(bytes(bad) + whole[700:])
+        except media.Malformed:
+            pass
+
+
+def test_media_fragments():
+    import struct
+
+    def full(kind, marks, *parts):
+        return media._box(kind, struct.pack(">I", marks), *parts)
+
+    table = lambda k: media._full(k, bytes(4))
+    stbl = media._box(b"stbl", media._full(b"stsd", struct.pack(">I", 1), media._box(b"avc1", bytes(8))), table(b"stts"), table(b"stsc"), media._full(b"stsz", bytes(8)), table(b"stco"))
+    trak = lambda n: media._box(b"trak", full(b"tkhd", 0, bytes(8), struct.pack(">I", n), bytes(68)), media._box(b"mdia", media._full(b"mdhd", struct.pack(">IIIII", 0, 0, 1000, 0, 0)), media._box(b"minf", stbl)))
+    moov = media._box(b"moov", trak(1), trak(2), media._box(b"mvex", full(b"trex", 0, struct.pack(">IIIII", 1, 1, 40, 10, 0x10000)), full(b"trex", 0, struct.pack(">IIIII", 2, 1, 20, 5, 0))))
+
+    def moof(offset):
+        one = media._box(b"traf", full(b"tfhd", 0x20000, struct.pack(">I", 1)), full(b"trun", 0x205, struct.pack(">IiI", 3, offset, 0), struct.pack(">III", 7, 8, 9)))
+        two = media._box(b"traf", full(b"tfhd", 0x20000, struct.pack(">I", 2)), full(b"trun", 0x1, struct.pack(">Ii", 2, offset + 24)))
+        return media._box(b"moof", one, two)
+
+    body = bytes(range(34))
+    data = moov + moof(len(moof(0)) + 8) + media._box(b"mdat", body)
+    a, b = media.tracks(data)
+    start = len(data) - len(body)
+    assert a["sizes"].tolist() == [7, 8, 9] and a["offsets"].tolist() == [start, start + 7, start + 15] and a["sync"].tolist() == [0] and a["starts"].tolist() == [0, 40, 80]
+    assert b["offsets"].tolist() == [start + 24, start + 29] and b["sync"].tolist() == [0, 1] and a["duration"] == 120
+    assert media.payload(data) == body
+    with pytest.raises(media.Malformed):
+        media.tracks(data[:-20] + bytes(0))
+
+
 # --- WARC
 
 
