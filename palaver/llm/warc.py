@@ -34,6 +34,8 @@ from palaver.llm import common
 LEAST, ARCHIVE_BYTES = 100, 1 << 30
 #: Ranges are joined across gaps up to the first size, and up to the second size in all.
 GAP, RANGE_BYTES = 1 << 16, 1 << 23
+#: A task reads about so many bytes of archives.
+TASK_BYTES = 1 << 24
 RECORD_ID, DATE = "urn:palaver:page:", "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, archive string, offset long, length long, digest string, record_type string"
@@ -44,7 +46,8 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST
     keys = pages.select(pages[id_col].alias("page_id"), common.utf8(payload_col).alias("p")).filter(F.octet_length("p") >= least).select("page_id", F.sha2("p", 256).alias("digest"))
     keys = common.materialize(keys, "digests")
     groups = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return keys.join(groups, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    groups = common.materialize(groups, "groups")  # as a table, so that the join can split a payload that a third of all rows have
+    return common.holding(keys.join(groups, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), keys, groups)
 
 
 def _clean(url: str) -> str:
@@ -86,11 +89,14 @@ def _place(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """Writes the archives and returns their index."""
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, folder: str | None = None) -> DataFrame:
+    """Writes the archives and returns their index. Without a ``folder`` they go below the shared one and
+    with the application."""
     spark = pages.sparkSession
-    revisits = common.materialize(classify(pages, id_col, payload_col, least), "revisits")
-    folder = common.scratch(spark, "warc")
+    told = classify(pages, id_col, payload_col, least)
+    revisits = common.materialize(told, "revisits")
+    common.drop(told)
+    folder = folder or common.scratch(spark, "warc")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), common.utf8(payload_col).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).join(revisits, ["page_id", "digest"], "left")
 
@@ -119,7 +125,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
             if out is not None:
                 out.close()
 
-    return common.materialize(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, INDEX), "index")
+    index = common.materialize(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, INDEX), "index")
+    common.drop(revisits)
+    return index
 
 
 def coalesce(spans: list[tuple[int, int]], gap: int = GAP, most: int = RANGE_BYTES) -> list[tuple[int, int, int, int]]:
@@ -139,7 +147,9 @@ READ = "page_id long, url string, record_type string, refers_to long, payload_by
 
 def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the index rows name. Revisits tell size and digest of the original's payload."""
-    picked = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    spans = index.select("archive", "offset", "length")
+    tasks = -(-(spans.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    picked = spans.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def told(data: bytes) -> tuple:
         r = parse(data)
