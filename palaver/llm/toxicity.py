@@ -2,26 +2,31 @@
 
 The chance that a document's grade is at most k is ``logistic(threshold[k] - weights . words)``: one
 weight per word serves all thresholds, which are kept in order. The expected severity is the sum over
-k of the chance that the grade is above k. Grades are 0 clean, 1 toxic, 2 severe. Labels know only
-toxic or not; a toxic training document is severe where its features together tell more than those of
-the median toxic one.
+k of the chance that the grade is above k. Grades are 0 clean, 1 toxic, 2 severe. **Labels know only
+toxic or not**: which toxic training documents count as severe is derived, not labelled. The documents
+are dealt into two halves by a hash of their text; one is severe where its features tell more than those of
+the median toxic one, by what the *other* half says of these features, so no document grades itself.
+Grades 1 and 2 thus order documents by how much of toxic language they hold; only 0 against the rest
+is held against labels.
 
 Features are words, their first ``STEMS`` letters, and those with the word's length, so that inflected
 forms of an insult count together. Those in at least ``LEAST`` training documents, more than ``PURE`` of
-them toxic, are ranked by how much they tell, and the first ``TERMS`` are used. A document's value for a feature is the number of its
-distinct words that have it. Weights are never negative: a long harmless text does not make up for
-insults in it. The model is fitted on at most ``SAMPLE`` labelled documents, those with
-the smallest hash of their id.
+them toxic, are ranked by how much they tell, and the first ``TERMS`` are used. A document's value for a
+feature is the number of its distinct words that have it. Weights are never negative: a long harmless
+text does not make up for insults in it. The model is fitted on at most ``SAMPLE`` labelled documents,
+those with the smallest hash of their id; executors count features and the driver gets the chosen ones,
+never texts.
 
 Defined results: a null or empty text has no words and gets the severity of the thresholds alone;
-without labels of both kinds every severity is 0, and without any telling feature that of the labels' shares; repeated rows score alike; an empty table gives an
-empty result.
+without labels of both kinds every severity is 0, and without any telling feature that of the labels'
+shares; texts that repeat count once in training; repeated rows score alike; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from palaver.llm import common, quality
 
-SAMPLE, TERMS, LEAST, PURE, LASSO, STEPS, CUT = 8_000, 2_000, 6, 0.5, 1e-3, 800, 0.35
+SAMPLE, TERMS, LEAST, PURE, LASSO, STEPS, CUT = 8_000, 2_000, 6, 0.5, 1e-3, 800, 0.25
 STEMS = (4, 5, 6, 7)
 #: Words remembered in each Python worker before the table is emptied.
 CACHE_WORDS = 300_000
@@ -111,68 +116,123 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np
     return w / spread, cuts
 
 
-def _hashed(found: set[str]) -> np.ndarray:
-    return np.array([zlib.crc32(f.encode()) for w in found for f in features(w)], np.uint32)
+def values(text: str | None) -> Counter[str]:
+    """How many of a text's distinct words have each feature."""
+    return Counter(f for w in words(text) for f in features(w))
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    toxic = np.asarray(toxic, int)
-    if len(set(toxic.tolist())) < 2:
+@dataclass
+class Counts:
+    """Of training documents: how many there are in each half, toxic ones and all, and how many have each feature."""
+
+    n: np.ndarray  # [half, all or toxic]
+    names: list[str]
+    seen: np.ndarray  # [feature, half, all or toxic]
+
+    def telling(self, half: int | None = None) -> np.ndarray:
+        """How much a feature's shares of toxic and clean documents differ, in standard deviations."""
+        n, seen = (self.n.sum(0), self.seen.sum(1)) if half is None else (self.n[half], self.seen[:, half])
+        (all_, toxic), (total, marked) = n, seen.T
+        if not 0 < toxic < all_:
+            return np.zeros(len(self.names))
+        share = np.maximum(total, 0.5) / (all_ + 1)
+        return (marked / toxic - (total - marked) / (all_ - toxic)) / np.sqrt(share * (1 - share) * (1 / toxic + 1 / (all_ - toxic)))
+
+
+def chosen(counts: Counts, terms: int = TERMS) -> np.ndarray:
+    """Places of the features to use, by name."""
+    total, marked = counts.seen.sum(1).T
+    names = np.array(counts.names, object)
+    ranked = np.lexsort((names, -counts.telling()))[:terms]
+    ranked = ranked[marked[ranked] > PURE * total[ranked]]
+    return ranked[np.argsort(names[ranked])]
+
+
+def fit_counts(counts: Counts, found: list[tuple[int, int, list[int], list[int]]]) -> Model:
+    """Fits on documents (half, toxic, places of features in ``counts``, values)."""
+    n, n1 = (int(x) for x in counts.n.sum(0))
+    if not 0 < n1 < n:
         return Model({}, np.array([60.0, 60.0]))
-    values = []
-    for t in texts:
-        keys, counts = np.unique(_hashed(words(t)), return_counts=True)
-        values.append((keys, np.minimum(counts, 65_535).astype(np.uint16)))
-    n1, n = toxic.sum(), len(toxic)
-
-    def seen(of) -> tuple[np.ndarray, np.ndarray]:
-        rows = [values[i][0] for i in of]
-        return np.unique(np.concatenate(rows), return_counts=True)
-
-    keys, total = seen(range(n))
-    marked_keys, marked = seen(np.flatnonzero(toxic))
-    keys, total = keys[total >= LEAST], total[total >= LEAST]
-    alone = Model({}, np.array([np.log((n - n1) / n1), 60.0]))  # too little to tell anything by
-    if not len(keys):
-        return alone
-    in_toxic = np.zeros(len(keys))
-    at = np.searchsorted(keys, marked_keys)
-    fits = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == marked_keys)
-    in_toxic[at[fits]] = marked[fits]
-    # a feature tells as much as its shares of toxic and clean documents differ, in standard deviations
-    share = total / (n + 1)
-    telling = (in_toxic / n1 - (total - in_toxic) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    top = np.lexsort((keys, -telling))[:TERMS]
-    top = np.sort(top[in_toxic[top] > PURE * total[top]])
-    keys, telling = keys[top], telling[top]
-    if not len(keys):
-        return alone
-    rows, columns, counts = [], [], []
-    for i, (k, c) in enumerate(values):
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        fits = keys[at] == k
-        rows.append(np.full(fits.sum(), i))
-        columns.append(at[fits])
-        counts.append(c[fits])
-    rows, columns, counts = np.concatenate(rows), np.concatenate(columns), np.concatenate(counts).astype(np.float64)
-    strong = np.bincount(rows, counts * telling[columns], n)
+    if not len(counts.names):  # too little to tell anything by
+        return Model({}, np.array([np.log((n - n1) / n1), 60.0]))
+    rows = np.repeat(np.arange(n), [len(f[2]) for f in found])
+    columns = np.array([c for f in found for c in f[2]], np.int64)
+    x = np.array([v for f in found for v in f[3]], np.float64)
+    half, toxic = (np.array([f[i] for f in found]) for i in (0, 1))
+    other = np.stack([counts.telling(1), counts.telling(0)])
+    strong = np.bincount(rows, x * other[half[rows], columns], n)
     grade = toxic + (toxic & (strong > np.median(strong[toxic == 1])))
-    w, cuts = fit_ordinal(rows, columns, counts, grade, len(keys))
-    used = {int(k): float(x) for k, x in zip(keys, w, strict=True) if abs(x) > 1e-9}
-    names = {f: used[h] for t in texts for word in words(t) for f in features(word) if (h := zlib.crc32(f.encode())) in used}
-    return Model(names, cuts)
+    w, cuts = fit_ordinal(rows, columns, x, grade, len(counts.names))
+    return Model({f: float(v) for f, v in zip(counts.names, w, strict=True) if v > 1e-9}, cuts)
+
+
+def _of_terms(text: str | None, at: dict[str, int]) -> tuple[list[int], list[int]]:
+    got = sorted((at[f], c) for f, c in values(text).items() if f in at)
+    return [a for a, _ in got], [c for _, c in got]
+
+
+def fit(texts: list[str], toxic: np.ndarray) -> Model:
+    """Fits on texts at hand; those at odd places are one half."""
+    toxic = np.asarray(toxic, int)
+    n = np.array([[len(toxic[h::2]), toxic[h::2].sum()] for h in (0, 1)])
+    seen: dict[str, np.ndarray] = {}
+    for i, t in enumerate(texts):
+        for f in values(t):
+            seen.setdefault(f, np.zeros((2, 2), np.int64))[i % 2] += (1, toxic[i])
+    names = sorted(f for f, c in seen.items() if c[:, 0].sum() >= LEAST)
+    counts = Counts(n, names, np.array([seen[f] for f in names], np.int64).reshape(-1, 2, 2))
+    use = chosen(counts)
+    counts = Counts(n, [names[i] for i in use], counts.seen[use])
+    at = {f: i for i, f in enumerate(counts.names)}
+    return fit_counts(counts, [(i % 2, int(toxic[i]), *_of_terms(t, at)) for i, t in enumerate(texts)])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """Fits on the sampled documents: features are counted where the texts are, and the driver gets at most
+    ``TERMS`` of them and what each of at most ``most`` documents has of those."""
     picked = F.broadcast(quality.sample(labels, "toxic", most))
-    # texts that repeat would count as evidence many times
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "text", "y")).alias("r"))
-    rows = rows.select("r.*").limit(most).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+    # texts that repeat would count as evidence many times; those that labels disagree on are toxic
+    told = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").join(picked, "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    told = common.materialize(told.orderBy("h").limit(most), "labelled")
+    n = np.zeros((2, 2), np.int64)
+    for r in told.groupBy(F.pmod("h", F.lit(2)).alias("half")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect():  # two rows
+        n[r["half"]] = r["n"], r["y"]
+
+    def count(batches):
+        seen: dict[str, list[int]] = {}  # of a bounded sample
+        for batch in batches:
+            for h, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for f in values(text):
+                    c = seen.setdefault(f, [0, 0, 0, 0])
+                    c[2 * (h % 2)] += 1
+                    c[2 * (h % 2) + 1] += y
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(4))], ["f", "n0", "y0", "n1", "y1"])
+
+    seen = told.select("h", "text", "y").mapInArrow(count, "f string, n0 long, y0 long, n1 long, y1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n0", "y0", "n1", "y1")))
+    # the others are not among the first TERMS that are pure enough, or are too rare
+    share = (F.col("n0") + F.col("n1")) / float(n[:, 0].sum() + 1)
+    clean, toxic = float(max(1, n[:, 0].sum() - n[:, 1].sum())), float(max(1, n[:, 1].sum()))
+    telling = ((F.col("y0") + F.col("y1")) / toxic - (F.col("n0") + F.col("n1") - F.col("y0") - F.col("y1")) / clean) / F.sqrt(share * (1 - share))
+    best = seen.filter(F.col("n0") + F.col("n1") >= LEAST).orderBy(telling.desc(), "f").limit(TERMS).toPandas().sort_values("f")
+    counts = Counts(n, best["f"].tolist(), best[["n0", "y0", "n1", "y1"]].to_numpy(np.int64).reshape(-1, 2, 2))
+    use = chosen(counts)
+    counts = Counts(n, [counts.names[i] for i in use], counts.seen[use])
+    at = {f: i for i, f in enumerate(counts.names)}
+
+    def pick(batches):
+        for batch in batches:
+            got = [_of_terms(t, at) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1))], ["h", "y", "at", "x"])
+
+    rows = told.select("h", "text", "y").mapInArrow(pick, "h long, y int, at array<int>, x array<int>").toPandas().sort_values("h")
+    model = fit_counts(counts, [(h % 2, y, list(a), list(x)) for h, y, a, x in rows.itertuples(index=False)])
+    common.drop(told)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """Per row: expected_severity, the chance of being toxic at all, the likeliest grade, toxic (that chance >= ``cut``)."""
+    """Per row: expected_severity, the chance of being toxic at all, toxic (that chance >= ``cut``), grade (the likeliest
+    above 0 if toxic, else 0)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS words
 
     def run(batches):
@@ -184,7 +244,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 made = [shipped.value.severity(t, known) for t in part.column(1).to_pylist()]
                 chance = [1 - p[0] for _, p in made]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array(chance, pa.float64()), pa.array([int(np.argmax(p)) for _, p in made], pa.int32()), pa.array([int(c >= cut) for c in chance], pa.int32())],
+                    [part.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array(chance, pa.float64()), pa.array([1 + int(np.argmax(p[1:])) if c >= cut else 0 for (_, p), c in zip(made, chance, strict=True)], pa.int32()), pa.array([int(c >= cut) for c in chance], pa.int32())],
                     ["id", "expected_severity", "score", "grade", "toxic"],
                 )
 
