@@ -11,6 +11,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a sweep's grid at most, about 100 bytes each.
+MOST_CONFIGS = 100_000
 
 
 @dataclass(frozen=True)
@@ -185,6 +189,9 @@ def sweep(embeddings: DataFrame, grid: DataFrame) -> DataFrame:
         return pd.DataFrame({"config": [first["config"]], "stream_id": [first["stream_id"]], "minted": [len(state.labels)], "active": [len(state.live())], "settled": [made.count("settled")], "guessed": [made.count("guessed")], "crowd": [crowd[0][2] if crowd else np.nan]})
 
     kind = embeddings.schema["stream_id"].dataType.simpleString()
-    # the grid is written by hand and small; streams are the distributed side
-    both = embeddings.select("stream_id", "ord", "vector").join(grid.hint("broadcast"))
+    # the streams are the distributed side; a grid is written by hand, which is checked before each copy of it is sent
+    rows = grid.count()
+    if rows > MOST_CONFIGS:
+        raise ValueError(f"a grid of {rows} rows; {MOST_CONFIGS} at most, so sweep it in parts")
+    both = embeddings.select("stream_id", "ord", "vector").join(F.broadcast(grid))
     return both.groupBy("config", "stream_id").applyInPandas(fold, f"config bigint, stream_id {kind}, minted int, active int, settled int, guessed int, crowd double")

@@ -123,3 +123,16 @@ def links(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 def starved(seconds_since_data: Column, error: Column, limit: float = 5.0) -> Column:
     return error.isNotNull() | F.coalesce(seconds_since_data >= limit, F.lit(True))
+
+
+def candidate_models(names: DataFrame, others: DataFrame, known: Column) -> DataFrame:
+    """Model files (name) that are not listed in ``others``, told apart by whether their family is known."""
+    return names.filter(F.col("name").endswith(".onnx")).join(others.select("name").distinct(), "name", "left_anti").withColumn("known", known)
+
+
+def pick_model(candidates: DataFrame, usual: str) -> DataFrame:
+    """One row: the model to use (``name``), which is the usual one or the only one of a known family, or
+    why there is none (``fault``)."""
+    sums = candidates.agg(F.max(F.when(F.col("name") == usual, F.col("name"))).alias("u"), F.count_if("known").alias("n"), F.max(F.when(F.col("known"), F.col("name"))).alias("k"))
+    fault = F.when(F.col("u").isNotNull() | (F.col("n") == 1), F.lit(None)).when(F.col("n") == 0, "no model of a known family").otherwise("several models")
+    return sums.select(F.coalesce("u", F.when(F.col("n") == 1, F.col("k"))).alias("name"), fault.alias("fault"))

@@ -221,18 +221,19 @@ def pure_speaker(spans: DataFrame, frames: DataFrame, clean_share: float = 0.9,
 
 
 def splice(parts: DataFrame, slice_frames: int) -> DataFrame:
-    """Recordings (ord, frame, mask, speakers) interleaved in slices: bits of later recordings are moved
-    up, and a recording's last slice is filled with silence. Adds ``out_frame``."""
-    sizes = parts.groupBy("recording", "ord").agg(F.max("speakers").alias("k"), F.max("frame").alias("m"))
-    every = Window.partitionBy(F.lit(0)).orderBy("ord")
+    """Recordings (group, ord, frame, mask, speakers) of a group interleaved in slices: bits of later
+    recordings are moved up, and a recording's last slice is filled with silence. Adds ``out_frame``. A mask
+    has room for a few recordings, so many are spliced in groups, each a recording of its own."""
+    sizes = parts.groupBy("group", "recording", "ord").agg(F.max("speakers").alias("k"), F.max("frame").alias("m"))
+    every = Window.partitionBy("group").orderBy("ord")
     shift = F.coalesce(F.sum("k").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
     shifted = sizes.withColumn("shift", shift)
     slices = shifted.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("m") / slice_frames))))
-    place = slices.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s", "ord")) - 1)
+    place = slices.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("s", "ord")) - 1)
     grid = place.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(slice_frames - 1))))
-    grid = grid.select("recording", "shift", (F.col("s") * slice_frames + F.col("i")).alias("frame"), (F.col("place") * slice_frames + F.col("i")).cast("bigint").alias("out_frame"))
-    out = grid.join(parts.select("recording", "frame", "mask"), ["recording", "frame"], "left")
-    return out.select("out_frame", F.coalesce(F.call_function("shiftleft", F.col("mask"), F.col("shift")), F.lit(0)).alias("mask"))
+    grid = grid.select("group", "recording", "shift", (F.col("s") * slice_frames + F.col("i")).alias("frame"), (F.col("place") * slice_frames + F.col("i")).cast("bigint").alias("out_frame"))
+    out = grid.join(parts.select("group", "recording", "frame", "mask"), ["group", "recording", "frame"], "left")
+    return out.select("group", "out_frame", F.coalesce(F.call_function("shiftleft", F.col("mask"), F.col("shift")), F.lit(0)).alias("mask"))
 
 
 def first_window(chunks: DataFrame, windows: DataFrame) -> DataFrame:

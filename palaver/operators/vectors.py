@@ -7,12 +7,14 @@ the square of all vectors.
 
 from __future__ import annotations
 
-import functools
-
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import vectors as V
+from palaver.operators.evaluation import index_pick
+from palaver.streaming.run import shared_dir
 
 T_ASSIGN, T_MARGIN, COHORT_MIN, T_ZNORM, T_RETIRE, T_MINT_MARGIN, T_MINT_CEILING, T_GAP_CHANGE, MAX_BRIDGED = 0.45, 0.10, 4, 2.0, 0.80, 0.20, 0.55, 0.37, 2
 
@@ -25,14 +27,12 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def means(rows: DataFrame) -> DataFrame:
-    """The unit mean of the vectors of each recording and label, and how many there are.
+    """The unit mean of the vectors (of one size) of each recording and label, and how many there are.
 
-    Components are averaged apart, so that partial sums are combined before the shuffle.
+    Whole vectors are averaged, and partial sums are combined before the shuffle.
     """
-    parts = rows.select("recording", "label", F.posexplode("vector").alias("i", "x"))
-    sums = parts.groupBy("recording", "label", "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = sums.groupBy("recording", "label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"), F.max("n").alias("n"))
-    return joined.select("recording", "label", "n", V.l2_normalize(F.transform("v", lambda x: x["m"])).alias("vector"))
+    told = rows.select("recording", "label", array_to_vector("vector").alias("v")).groupBy("recording", "label").agg(Summarizer.metrics("mean", "count").summary(F.col("v")).alias("s"))
+    return told.select("recording", "label", F.col("s.count").alias("n"), V.l2_normalize(vector_to_array("s.mean")).alias("vector"))
 
 
 def cohesion(rows: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -108,24 +108,70 @@ def gap_tally(decisions: DataFrame, thresholds: list[float], most_restarts: int
     bounded = F.lit(False) if most_restarts == 0 else F.col("restarts") > most_restarts
     known = F.col("before").isNotNull() & F.col("after").isNotNull()
     sums = [F.count_if(V.finite(F.col("cos")) & ~bounded & (F.col("cos") >= t) & known & c).alias(f"{n}{i}") for i, t in enumerate(thresholds) for n, c in (("c", F.col("before") == F.col("after")), ("x", F.col("before") != F.col("after")))]
-    one = decisions.agg(*sums)
-    rows = [one.select(F.lit(float(t)).alias("threshold"), F.col(f"c{i}").alias("correct"), F.col(f"x{i}").alias("crossings")) for i, t in enumerate(thresholds)]
-    return functools.reduce(DataFrame.unionByName, rows)
+    rows = [F.struct(F.lit(float(t)).alias("threshold"), F.col(f"c{i}").alias("correct"), F.col(f"x{i}").alias("crossings")) for i, t in enumerate(thresholds)]
+    return decisions.agg(*sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def hop_decisions(hops_: DataFrame) -> DataFrame:
+    """Each hop (recording, chunk, vector, label, restarts since the hop before it) against the one before:
+    cos, before, after, restarts, before_chunk, after_chunk. The first of a recording has nothing before it."""
+    order = Window.partitionBy("recording").orderBy("chunk")
+    lag = lambda c: F.lag(c).over(order)
+    out = hops_.select("recording", V.cosine(F.col("vector"), lag("vector")).alias("cos"), lag("label").alias("before"), F.col("label").alias("after"), "restarts", lag("chunk").alias("before_chunk"), F.col("chunk").alias("after_chunk"))
+    return out.filter("before_chunk IS NOT NULL")
+
+
+def gap_decisions(hops_: DataFrame) -> DataFrame:
+    """Of :func:`hop_decisions` those over at least one silence."""
+    return hop_decisions(hops_).filter("restarts > 0")
+
+
+def worst_crossings(decisions: DataFrame, most: int = 5) -> DataFrame:
+    """Per recording the ``most`` real changes of speaker that sound most alike; ``rank`` from 1."""
+    real = decisions.filter(F.col("before") != F.col("after"))  # both are known
+    rank = F.row_number().over(Window.partitionBy("recording").orderBy(F.desc("cos"), "after_chunk"))
+    return real.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
+def bridged(decisions: DataFrame) -> DataFrame:
+    """Per recording how many chunks decisions bridge (median, ninth decile, most), and how many bridge
+    more than one silence. Order statistics are by floor index."""
+    chunks = decisions.withColumn("bridged", F.greatest(F.col("after_chunk") - F.col("before_chunk"), F.lit(0)))
+    picks = index_pick(chunks, ["recording"], "bridged", {"p50": (1, 2), "p90": (9, 10), "most": (1, 1)}, minus=1)
+    return picks.join(chunks.groupBy("recording").agg(F.count_if(F.col("restarts") > 1).alias("several")), "recording")
 
 
 def normalise_features(rows: DataFrame, variance: bool) -> DataFrame:
     """Features (recording, frame, feats) with the mean of each dimension taken off, and scaled to unit
     deviation of the population (floor 1e-5) if asked."""
-    parts = rows.select("recording", "frame", F.posexplode("feats").alias("d", "x"))
-    stats = parts.groupBy("recording", "d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    scale = F.greatest(F.col("s"), F.lit(1e-5)) if variance else F.lit(1.0)
-    return parts.join(stats, ["recording", "d"]).select("recording", "frame", "d", ((F.col("x") - F.col("m")) / scale).alias("x"))
+    stats = rows.select("recording", array_to_vector("feats").alias("v")).groupBy("recording").agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    whole = F.col("s.count")
+    spread = F.transform(vector_to_array("s.variance"), lambda x: F.greatest(F.sqrt(x * (whole - 1) / whole), F.lit(1e-5)))
+    stats = stats.select("recording", vector_to_array("s.mean").alias("m"), spread.alias("s"))
+    off = F.zip_with("feats", "m", lambda x, m: x - m)
+    scaled = F.zip_with(off, "s", lambda x, s: x / s) if variance else off
+    return rows.join(stats, "recording").select("recording", "frame", F.posexplode(scaled).alias("d", "x"))
+
+
+def transposed(rows: Column) -> Column:
+    """An array of equally long rows as an array of its columns."""
+    width = F.coalesce(F.size(F.get(rows, F.lit(0))), F.lit(0))
+    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(rows, lambda r: F.get(r, j)))).otherwise(F.slice(rows, 1, 0))
 
 
-def resolve(forwards: DataFrame, most: int = 64) -> DataFrame:
-    """Follows (label, retired_into) to a label that is live, by doubling the steps each round."""
+def resolve(forwards: DataFrame) -> DataFrame:
+    """Follows (label, retired_into) to a label that is live, however long the chain: the steps double each
+    round, until no label moves. A chain that ends in a circle has no live label, and is an error."""
     now = forwards.select("label", F.coalesce("retired_into", "label").alias("to"))
-    for _ in range(max(1, most.bit_length())):
+    shared_dir(forwards.sparkSession)
+    longest, steps = forwards.count(), 1
+    while True:
         step = now.select(F.col("label").alias("to"), F.col("to").alias("next"))
-        now = now.join(step, "to", "left").select("label", F.coalesce("next", "to").alias("to"))
-    return now
+        after = now.join(step, "to", "left").select("label", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+        after = after.checkpoint()
+        moved = after.filter("moved").limit(1).count()
+        now, steps = after.select("label", "to"), 2 * steps
+        if not moved:
+            return now
+        if steps > 2 * longest:
+            raise ValueError("labels retired into each other in a circle")

@@ -30,6 +30,23 @@ def windows(frames: DataFrame, width: int = WINDOW_FRAMES, hop: int = HOP_FRAMES
     return full.select("stream_id", "run", "k", "first", "last")
 
 
+def timed_windows(frames: DataFrame, window_s: float, hop_s: float, gap_s: float = 0.5, frame_s: float = FRAME / 16_000) -> DataFrame:
+    """:func:`windows` of so many seconds, with the times ``t0`` and ``t1`` from the first frame's start to the last one's end."""
+    made = windows(frames, round(window_s / frame_s), max(1, round(hop_s / frame_s)), int(gap_s / frame_s))
+    return made.withColumns({"t0": F.col("first") * frame_s, "t1": (F.col("last") + 1) * frame_s})
+
+
+def voiced_share(frames: DataFrame) -> DataFrame:
+    """Frames of each stream, the share of voiced ones, and how long they last in seconds."""
+    out = frames.groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("voiced").cast("double")).alias("share"))
+    return out.withColumn("seconds", F.col("n") * FRAME / 16_000)
+
+
+def real_time_factor(seconds: Column, elapsed: Column) -> Column:
+    """How many times faster than it lasts audio was worked on; null for no time at all."""
+    return seconds / F.nullif(elapsed, F.lit(0.0))
+
+
 def hops(frames: DataFrame, hop: int = HOP_FRAMES, gap: int = MAX_GAP) -> DataFrame:
     """Consecutive pieces of ``hop`` voiced frames; an incomplete one is dropped."""
     runs = voiced_runs(frames, gap).withColumn("k", F.floor((F.col("n") - 1) / hop))
@@ -63,3 +80,9 @@ def framed(samples: DataFrame, size: int = FRAME) -> DataFrame:
 def analysis_frames(n: Column, length: int = 400, shift: int = 160) -> Column:
     """How many overlapping analysis frames fit into n samples."""
     return F.when(n < length, F.lit(0)).otherwise(F.floor((n - length) / shift) + 1).cast("bigint")
+
+
+def analysis_spans(n: Column, length: int = 400, shift: int = 160) -> Column:
+    """The overlapping analysis frames of n samples as (frame, lo, hi exclusive); what is left over is dropped."""
+    k = analysis_frames(n, length, shift)
+    return F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.struct(i.alias("frame"), (i * shift).alias("lo"), (i * shift + length).alias("hi")))).otherwise(F.expr("CAST(array() AS array<struct<frame: bigint, lo: bigint, hi: bigint>>)"))

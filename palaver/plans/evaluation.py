@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palaver.operators import evaluation as O
@@ -148,16 +149,16 @@ def window_speaker(spark, sf_dir):
     return O.pure_speaker(spans, frames)
 
 
-@query(f"""WITH {A.FRAME_SQL}, r AS (SELECT recording, dense_rank() OVER (ORDER BY recording) - 1 AS o FROM (SELECT DISTINCT recording FROM frames_c)),
-p AS (SELECT f.recording, o, frame, mask FROM frames_c f JOIN r USING (recording) WHERE o < 2), m AS (SELECT recording, o, max(frame) AS m FROM p GROUP BY 1, 2),
-s AS (SELECT recording, o, s, row_number() OVER (ORDER BY s, o) - 1 AS place FROM m, LATERAL (SELECT unnest(range(0, m // 50 + 1)) AS s) x),
-g AS (SELECT recording, o, s * 50 + i AS frame, place * 50 + i AS out_frame FROM s, range(50) t(i))
-SELECT out_frame, CAST(coalesce(p.mask << (g.o * 3)::INTEGER, 0) AS INTEGER) AS mask FROM g LEFT JOIN p ON p.recording = g.recording AND p.frame = g.frame""")
+@query(f"""WITH {A.FRAME_SQL}, r AS (SELECT recording, (row_number() OVER (ORDER BY recording) - 1) // 2 AS grp, (row_number() OVER (ORDER BY recording) - 1) % 2 AS o FROM (SELECT DISTINCT recording FROM frames_c)),
+p AS (SELECT f.recording, grp, o, frame, mask FROM frames_c f JOIN r USING (recording)), m AS (SELECT recording, grp, o, max(frame) AS m FROM p GROUP BY 1, 2, 3),
+s AS (SELECT recording, grp, o, s, row_number() OVER (PARTITION BY grp ORDER BY s, o) - 1 AS place FROM m, LATERAL (SELECT unnest(range(0, m // 50 + 1)) AS s) x),
+g AS (SELECT recording, grp, o, s * 50 + i AS frame, place * 50 + i AS out_frame FROM s, range(50) t(i))
+SELECT g.grp AS "group", out_frame, CAST(coalesce(p.mask << (g.o * 3)::INTEGER, 0) AS INTEGER) AS mask FROM g LEFT JOIN p ON p.recording = g.recording AND p.frame = g.frame""")
 def splice_recordings(spark, sf_dir):
-    """The first two recordings, three speakers each, interleaved in slices of fifty frames."""
+    """All recordings, three speakers each, interleaved two by two in slices of fifty frames: a mask has eight bits."""
     frames = A.frames(spark, sf_dir)
-    names = frames.select("recording").distinct().orderBy("recording").limit(2)
-    ord_ = names.join(names.select(F.col("recording").alias("other")), F.col("other") < F.col("recording"), "left").groupBy("recording").agg(F.count("other").alias("ord"))
+    nth = F.row_number().over(Window.orderBy("recording")) - 1  # a row a recording
+    ord_ = frames.select("recording").distinct().select("recording", F.floor(nth / 2).alias("group"), (nth % 2).alias("ord"))
     return O.splice(frames.join(ord_, "recording").withColumn("speakers", F.lit(3)), 50)
 
 

@@ -273,7 +273,7 @@ def candidate_models(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
     names = docs.select(F.concat("source", F.lit("-"), "lang", F.when(F.col("doc_id") % 4 == 0, ".onnx").otherwise(".bin")).alias("name")).distinct()
     others = A.table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string"), F.lit("-en.onnx")).alias("name"))
-    return names.filter(F.col("name").endswith(".onnx")).join(others, "name", "left_anti").withColumn("known", F.col("name").startswith("src1"))
+    return D.candidate_models(names, others, F.col("name").startswith("src1"))
 
 
 @query("SELECT event_id, event_type = 'error' OR value >= 100 AS starved FROM events")

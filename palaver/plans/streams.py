@@ -16,7 +16,10 @@ ORDER = ["us", "event_id"]
 
 def _events(spark, sf_dir):
     # a pattern, so that a table in one file is a stream as well
-    rows = run.read_events(spark, f"{sf_dir}/events.parquet*")
+    return run.with_last(_told(run.read_events(spark, f"{sf_dir}/events.parquet*")), _told(A.table(spark, sf_dir, "events")), ORDER)
+
+
+def _told(rows):
     return rows.select(F.date_format("ts", "yyyy-MM-dd").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "user_id", "event_type", "value")
 
 
@@ -24,7 +27,7 @@ def chunk_of(fold: folds.Attribution, e: dict) -> dict:
     """An event as a chunk: the adapters' rules, with the position from the state."""
     pos, speaker = fold.chunks + 1, SPEAKERS.get(e["event_type"])
     relabels = [(max(pos - 7, 0), pos - 2, e["user_id"] % 3 + 1)] if e["event_type"] == "signup" and pos - 2 >= max(pos - 7, 0) else []
-    return {"text": e["event_type"] if pos % 3 == 0 else "", "speaker": speaker, "provisional": speaker is not None and e["value"] < 50, "boundary": e["event_type"] == "error", "relabels": relabels}
+    return {"text": e["event_type"] if pos % 3 == 0 else "", "speaker": speaker, "provisional": speaker is not None and e["value"] < 50, "boundary": e["event_type"] == "error", "relabels": relabels, "last": e["last"]}
 
 
 def segment_of(fold: folds.Lines, e: dict) -> dict:
@@ -35,9 +38,9 @@ def _attributed(spark, sf_dir):
     return run.drain(folds.in_stream(_events(spark, sf_dir), folds.Attribution(LAG, WINDOW), ORDER, chunk_of), "commits")
 
 
-@query(f"""WITH {VOTE_SQL}, last AS (SELECT session_id, max(chunk) AS m FROM labels_c GROUP BY 1)
-SELECT em.session_id, em.seq, em.text, em.from_chunk, em.to_chunk, em.speaker, em.provisional FROM em JOIN last ON em.session_id = last.session_id WHERE em.to_chunk + {LAG} <= m""")
+@query(f"WITH {VOTE_SQL} SELECT session_id, seq, text, from_chunk, to_chunk, speaker, provisional FROM em")
 def stream_commits(spark, sf_dir):
+    """Commits as they are released; a session's end releases those still held."""
     return _attributed(spark, sf_dir).filter("kind = 'commit'").select("session_id", "seq", "text", "from_chunk", "to_chunk", "speaker", "provisional")
 
 

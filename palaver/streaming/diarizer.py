@@ -86,6 +86,41 @@ class OutOfService(RuntimeError):
     pass
 
 
+def self_check(embed: Callable[[np.ndarray], np.ndarray], voice: Callable[[np.ndarray], float], speech: np.ndarray, dim: int | None = None) -> int:
+    """Checks models before they are used, on silence and on ``speech`` of a second or more; the size of embeddings.
+
+    No frame of a second of silence may be voiced, a third of the frames of speech must be, and
+    embeddings of both lengths must be of one size, finite and not nought once they are scaled.
+    """
+
+    def voiced(samples: np.ndarray) -> list[bool]:
+        gate = Gate()
+        return [gate.step(voice(f)) for f in samples[: len(samples) // FRAME * FRAME].reshape(-1, FRAME)]
+
+    if any(voiced(np.zeros(16_000))):
+        raise ValueError("the voice model hears speech in silence")
+    heard = voiced(np.asarray(speech, float))
+    if 3 * sum(heard) < len(heard):
+        raise ValueError(f"the voice model hears speech in {sum(heard)} of {len(heard)} frames of speech only")
+    made = embed_batch(embed, [np.resize(speech, WINDOW_FRAMES * FRAME)]) + embed_batch(embed, [np.resize(speech, HOP_FRAMES * FRAME)])
+    sizes = {len(v) for v in made} | ({dim} if dim else set())
+    if len(sizes) > 1:
+        raise ValueError(f"embeddings of sizes {sorted(sizes)}")
+    if any(abs(float(np.linalg.norm(v)) - 1) >= 1e-3 for v in made):
+        raise ValueError("an embedding without length")
+    return len(made[0])
+
+
+def embed_batch(embed: Callable[[np.ndarray], np.ndarray], pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """Unit embeddings of pieces of one length; an error if lengths differ or a number is not finite."""
+    if len({len(p) for p in pieces}) > 1:
+        raise ValueError("pieces of unequal length")
+    made = [unit(embed(p)) for p in pieces]
+    if not all(np.isfinite(v).all() for v in made):
+        raise ValueError("an embedding that is not finite")
+    return made
+
+
 @dataclass
 class Diarizer:
     embed: Callable[[np.ndarray], np.ndarray]
@@ -145,9 +180,7 @@ class Diarizer:
             if kind == WINDOW and cut:  # it reaches back over the boundary
                 continue
             try:
-                v = unit(self.embed(audio))
-                if not np.isfinite(v).all():
-                    raise ValueError("an embedding that is not finite")
+                (v,) = embed_batch(self.embed, [audio])
             except Exception:
                 self.failures += 1
                 raise

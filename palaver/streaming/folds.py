@@ -147,6 +147,22 @@ class Transcript:
         self.segments.append([seq, text, speaker, provisional])
 
 
+@dataclass
+class Rate:
+    """Lets a row through if ``every`` seconds have gone by since the last one that was let through. A row has pos and at."""
+
+    every: float = 5.0
+    last: float | None = None
+
+    SCHEMA = "pos bigint, allowed boolean"
+
+    def step(self, row: dict) -> list[dict]:
+        allowed = self.last is None or row["at"] - self.last >= self.every
+        if allowed:
+            self.last = row["at"]
+        return [{"pos": row["pos"], "allowed": allowed}]
+
+
 @dataclass
 class Strikes:
     """Drops a labeller after ``most`` errors in a row; no label is no error, and success starts anew."""
@@ -205,7 +221,8 @@ def in_batch(rows: DataFrame, fold, order: list[str], adapt=None, key: str = "se
 
 
 def in_stream(rows: DataFrame, fold, order: list[str], adapt=None, key: str = "session_id") -> DataFrame:
-    """The same in a stream: state per session is kept between batches, rows of a batch are put in order."""
+    """The same in a stream: state per session is kept between batches, rows of a batch are put in order. A
+    row whose column ``last`` is true ends its session and frees the state."""
     start, kind, columns, whole = json.dumps(asdict(fold)), type(fold), _columns(fold), _whole(rows)
 
     class Processor(StatefulProcessor):
@@ -216,7 +233,10 @@ def in_stream(rows: DataFrame, fold, order: list[str], adapt=None, key: str = "s
             state = kind(**json.loads(self.state.get()[0] if self.state.exists() else start))
             frame = pd.concat(list(batches), ignore_index=True)
             out = _run(state, frame, adapt, order, key, key_[0], columns, whole)
-            self.state.update((json.dumps(asdict(state)),))
+            if "last" in frame and frame["last"].fillna(False).any():  # nothing comes after a session's end
+                self.state.clear()
+            else:
+                self.state.update((json.dumps(asdict(state)),))
             yield out
 
         def close(self) -> None:
