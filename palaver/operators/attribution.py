@@ -41,9 +41,9 @@ def majority(commits_: DataFrame, labels: DataFrame, lag: int = LAG_CHUNKS) -> D
     cut = F.max((F.col("boundary") & (F.col("chunk") > F.col("_at"))).cast("int")).over(order)
     counted = votes.withColumn("_cut", cut).filter("_cut = 0 AND speaker IS NOT NULL")
     tally = counted.groupBy("session_id", "seq", "speaker").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("first"), F.every("provisional").alias("provisional"))
-    best = tally.groupBy("session_id", "seq").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "speaker", "provisional")).alias("b"))
+    best = tally.groupBy("session_id", "seq").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "speaker", "provisional")).alias("__b"))
     out = commits_.join(best, ["session_id", "seq"], "left")
-    return out.withColumns({"speaker": F.col("b.speaker"), "provisional": F.coalesce("b.provisional", F.lit(False))}).drop("b")
+    return out.withColumns({"speaker": F.col("__b.speaker"), "provisional": F.coalesce("__b.provisional", F.lit(False))}).drop("__b")
 
 
 def window_chunks(seconds: float, chunk_seconds: float = CHUNK_SECONDS) -> int:
@@ -71,10 +71,10 @@ def relabel(emitted: DataFrame, relabels: DataFrame, window: int, lag: int = LAG
     that does settles a commit.
     """
     pairs = reach(emitted, relabels, window, lag).filter("speaker IS NULL OR (provisional AND speaker <> r_speaker)")
-    first = pairs.groupBy("session_id", "seq").agg(F.min(F.struct("arrival", "r_from", "r_to", "r_speaker")).alias("c"))
+    first = pairs.groupBy("session_id", "seq").agg(F.min(F.struct("arrival", "r_from", "r_to", "r_speaker")).alias("__c"))
     out = emitted.join(first, ["session_id", "seq"], "left")
-    out = out.withColumns({"speaker": F.coalesce("c.r_speaker", "speaker"), "provisional": F.col("provisional") & F.col("c").isNull()}).drop("c")
-    return out, first.select("session_id", "seq", "c.*")
+    out = out.withColumns({"speaker": F.coalesce("__c.r_speaker", "speaker"), "provisional": F.col("provisional") & F.col("__c").isNull()}).drop("__c")
+    return out, first.select("session_id", "seq", "__c.*")
 
 
 def messages(changed: DataFrame) -> DataFrame:

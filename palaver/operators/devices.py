@@ -100,16 +100,17 @@ def resolve(selection: DataFrame, devices: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, group: str, base: str, order: str) -> DataFrame:
     """Names told apart: the second of a base is "base 2", and so on in order.
 
-    A name that is taken by a base of its own, like a literal "X 2" before the second X, is skipped: the
-    bases of a group are few and are looked up as an array.
+    A name that is taken by a base of its own, like a literal "X 2" before the second X, is skipped: of
+    each base the numbers that others bear are looked up, and what is not a duplicate costs nothing.
     """
     n = F.row_number().over(Window.partitionBy(group, base).orderBy(order))
-    taken = F.collect_set(base).over(Window.partitionBy(group))
-    out = rows.withColumns({"_n": n, "_taken": taken})
-    # the numbers that are free for this base, as many as are needed
-    free = F.filter(F.sequence(F.lit(2), F.size("_taken") + F.col("_n") + 1), lambda i: ~F.array_contains(F.col("_taken"), F.concat(F.col(base), F.lit(" "), i.cast("string"))))
-    name = F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit(" "), F.element_at(free, (F.col("_n") - 1).cast("int")).cast("string")))
-    return out.withColumn("label", name).drop("_n", "_taken")
+    number = F.expr(f"try_cast(regexp_extract(`{base}`, ' ([1-9][0-9]*)$', 1) AS bigint)")
+    bearing = rows.select(F.col(group).alias("__g"), F.regexp_replace(base, " [1-9][0-9]*$", "").alias("__of"), number.alias("__k")).filter("__k >= 2")
+    taken = bearing.groupBy("__g", "__of").agg(F.array_sort(F.collect_set("__k")).alias("__taken"))
+    out = rows.withColumn("__n", n.cast("bigint")).join(taken, F.col(group).eqNullSafe(F.col("__g")) & (F.col(base) == F.col("__of")), "left")
+    free = F.aggregate(F.coalesce("__taken", F.expr("CAST(array() AS array<bigint>)")), F.col("__n"), lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    name = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit(" "), free.cast("string")))
+    return out.withColumn("label", name).drop("__n", "__taken", "__g", "__of")
 
 
 def links(outputs: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -12,14 +12,16 @@ CLIENT_TYPES = ("session.start", "session.flush", "session.stop")
 
 
 def decode(frames: DataFrame, json: str = "json", schema: str = schemas.SERVER_MESSAGE, types: tuple[str, ...] = SERVER_TYPES) -> tuple[DataFrame, DataFrame]:
-    """Messages, and the rows that are none: not JSON, or of an unknown type. Unknown fields are ignored."""
-    parsed = frames.withColumn("m", F.from_json(json, schema, {"mode": "PERMISSIVE"}))
-    good = F.coalesce(F.col("m.type").isin(*types), F.lit(False))
+    """Messages, and the rows that are none: not JSON, or of an unknown type. Unknown fields are ignored;
+    a field with the name of one of the frames' other columns comes out as ``message_`` and its name."""
+    parsed = frames.withColumn("__m", F.from_json(json, schema, {"mode": "PERMISSIVE"}))
+    good = F.coalesce(F.col("__m.type").isin(*types), F.lit(False))
     rest = [c for c in frames.columns if c != json]
-    out = parsed.filter(good).select(*rest, "m.*")
+    fields = parsed.schema["__m"].dataType.names
+    out = parsed.filter(good).select(*rest, *(F.col(f"__m.{c}").alias(f"message_{c}" if c in rest else c) for c in fields))
     if "speaker_provisional" in out.columns:
         out = out.withColumn("speaker_provisional", F.coalesce("speaker_provisional", F.lit(False)))
-    return out, parsed.filter(~good).drop("m")
+    return out, parsed.filter(~good).drop("__m")
 
 
 def encode(message: DataFrame, columns: list[str]) -> Column:

@@ -24,15 +24,15 @@ def with_turns(segments: DataFrame) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy("pos")
     before = F.lag("source").over(order)
     first = F.row_number().over(order) == 1
-    rows = segments.withColumn("_switch", first | ~F.col("source").eqNullSafe(before))
-    rows = rows.withColumn("_run", F.sum(F.col("_switch").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    in_run = Window.partitionBy("session_id", "_run").orderBy("pos")
+    rows = segments.withColumn("__switch", first | ~F.col("source").eqNullSafe(before))
+    rows = rows.withColumn("__run", F.sum(F.col("__switch").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    in_run = Window.partitionBy("session_id", "__run").orderBy("pos")
     last = F.last("speaker", ignorenulls=True).over(in_run.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.col("_switch") | (F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(last))
-    rows = rows.withColumn("_opens", opens)
-    rows = rows.withColumn("turn", F.sum(F.col("_opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = F.col("__switch") | (F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(last))
+    rows = rows.withColumn("__opens", opens)
+    rows = rows.withColumn("turn", F.sum(F.col("__opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     in_turn = Window.partitionBy("session_id", "turn").orderBy("pos")
-    return rows.withColumn("turn_speaker", F.first("speaker").over(in_turn)).drop("_switch", "_run", "_opens")
+    return rows.withColumn("turn_speaker", F.first("speaker").over(in_turn)).drop("__switch", "__run", "__opens")
 
 
 def joined(value: Column, order: Column | str = "pos", separator: str = "") -> Column:
@@ -54,7 +54,7 @@ def lines(segments: DataFrame, gap: float = NEW_LINE_AFTER) -> DataFrame:
     in_turn = Window.partitionBy("session_id", "turn").orderBy("pos")
     rows = with_turns(segments)
     breaks = F.coalesce(F.col("at") - F.lag("at").over(in_turn) >= gap, F.lit(True))
-    return rows.withColumn("_b", breaks.cast("int")).withColumn("line", F.sum("_b").over(in_turn.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+    return rows.withColumn("__b", breaks.cast("int")).withColumn("line", F.sum("__b").over(in_turn.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")
 
 
 def render(segments: DataFrame, layout: str = PLAIN, gap: float = NEW_LINE_AFTER) -> DataFrame:
@@ -115,9 +115,9 @@ def relabel(segments: DataFrame, corrections: DataFrame, bucket: int = 64) -> Da
     spread = spread.filter("_from <= _to").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor(F.col("_to") / bucket))))
     reach = segments.filter(open_ & F.col("seq").isNotNull()).select("session_id", "pos", "seq", "speaker").withColumn("_bucket", F.floor(F.col("seq") / bucket))
     hit = reach.join(spread, ["session_id", "_bucket"]).filter(F.col("seq").between(F.col("_from"), F.col("_to")) & ~F.col("speaker").eqNullSafe(F.col("_new")))
-    first = hit.groupBy("session_id", "pos").agg(F.min(F.struct("_arrival", "_from", "_to", "_new")).alias("c"))
+    first = hit.groupBy("session_id", "pos").agg(F.min(F.struct("_arrival", "_from", "_to", "_new")).alias("__c"))
     out = segments.join(first, ["session_id", "pos"], "left")
-    return out.withColumns({"speaker": F.coalesce("c._new", "speaker"), "provisional": F.col("provisional") & F.col("c").isNull()}).drop("c")
+    return out.withColumns({"speaker": F.coalesce("__c._new", "speaker"), "provisional": F.col("provisional") & F.col("__c").isNull()}).drop("__c")
 
 
 def merge_states(states: DataFrame) -> DataFrame:
