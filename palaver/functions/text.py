@@ -120,6 +120,16 @@ def meeting_of(path: Column) -> Column:
     return F.substring_index(basename(path), ".", 1)
 
 
+def resolved(name: Column, folder: str) -> Column:
+    """A bare name below a folder; one with a slash as it is."""
+    return F.when(name.contains("/"), name).otherwise(F.concat(F.lit(f"{folder}/"), name))
+
+
+def cache_path(wav: Column, model: Column, window_s: float, hop_s: float, folder: str, version: int) -> Column:
+    """Where embeddings of a recording are kept: they depend on the model and the windows, not on thresholds."""
+    return F.concat(F.lit(f"{folder}/cache/"), stem(wav), F.lit("-"), path_key(wav), F.lit("."), stem(model), F.lit(f".w{window_s * 1000:.0f}h{hop_s * 1000:.0f}.v{version}.emb"))
+
+
 BLOCKS = " ▁▂▃▄▅▆▇█"
 
 

@@ -254,7 +254,8 @@ def cluster_sweep(spark, sf_dir):
     return C.sweep(rows, grid)
 
 
-@query()
+@query("""SELECT page_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(url, ''), lambda x: unicode(x)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT)), 16, '0') AS key,
+ split_part(url, '/', -1) AS base, split_part(split_part(url, '/', -1), '.', 1) AS meeting FROM pages""")
 def path_keys(spark, sf_dir):
     """The 64-bit key of each page's address, and names taken from it."""
     return A.table(spark, sf_dir, "pages").select("page_id", T.path_key(F.col("url")).alias("key"), T.basename(F.col("url")).alias("base"), T.meeting_of(F.col("url")).alias("meeting"))

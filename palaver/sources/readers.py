@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import io
 import wave
 
@@ -92,13 +93,71 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cached(build, spark: SparkSession, path: str, version: str) -> DataFrame:
-    """A table kept under a path that names its parameters and version; built where it isn't there yet."""
+    """A table kept under a path that names its parameters and version; built beside its place and moved
+    there where it isn't there yet, so that no half of one is ever read."""
     where = f"{path.rstrip('/')}/{version}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        build().write.mode("overwrite").parquet(where)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = of(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not place.exists(of(f"{where}/_SUCCESS")):
+        part = f"{where}.{uuid.uuid4().hex}"
+        build().write.parquet(part)
+        place.delete(of(where), True)
+        if not place.rename(of(part), of(where)):
+            raise OSError(f"{where} could not be put in place")
     return spark.read.parquet(where)
 
 
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EMBEDDING).parquet(path)
+
+
+#: Fixed value: the first bytes of a file of embeddings.
+MAGIC = b"DZEM"
+
+
+def pack_embeddings(times: list[tuple[float, float]], vectors: list[list[float]]) -> bytes:
+    """The file of embeddings: magic, width, number, then the times and the vectors as 32-bit floats."""
+    width = len(vectors[0]) if vectors else 0
+    if len(times) != len(vectors) or any(len(v) != width for v in vectors):
+        raise ValueError("times and vectors that don't belong together")
+    return MAGIC + np.array([width, len(vectors)], "<u4").tobytes() + np.array(times, "<f4").tobytes() + np.array(vectors, "<f4").tobytes()
+
+
+def unpack_embeddings(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Times (n by 2) and vectors of such a file; an error if it is none or has another length than it says."""
+    if len(data) < 12 or data[:4] != MAGIC:
+        raise ValueError("not a file of embeddings")
+    width, n = (int(x) for x in np.frombuffer(data, "<u4", 2, 4))
+    if len(data) != 12 + 4 * n * (2 + width):
+        raise ValueError("a file of embeddings cut off")
+    floats = np.frombuffer(data, "<f4", n * (2 + width), 12)
+    return floats[: 2 * n].reshape(n, 2), floats[2 * n :].reshape(n, width)
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """A row per embedding of such files: stream_id (the file's stem), ord, t0, t1, vector, error. A file that
+    can't be read is one row with its error."""
+
+    def run(parts):
+        for rows in parts:
+            for name, data in zip(rows["path"], rows["content"], strict=True):
+                try:
+                    times, vectors = unpack_embeddings(bytes(data))
+                    yield pd.DataFrame({"path": name, "ord": np.arange(len(times)), "t0": times[:, 0], "t1": times[:, 1], "vector": list(vectors), "error": None})
+                except ValueError as e:
+                    yield pd.DataFrame({"path": [name], "ord": pd.array([None], "Int64"), "t0": [None], "t1": [None], "vector": [None], "error": [str(e)]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, ord bigint, t0 float, t1 float, vector array<float>, error string").select(T.stem(F.col("path")).alias("stream_id"), "ord", "t0", "t1", "vector", "error")
+
+
+def read_flags(spark: SparkSession, path: str) -> DataFrame:
+    """FRAME rows (stream_id, frame, voiced) of files with a byte a frame, nought for silence."""
+    files = spark.read.format("binaryFile").load(path).select(T.stem(F.col("path")).alias("stream_id"), F.hex("content").alias("h"))
+    flags = F.transform(F.sequence(F.lit(0), (F.length("h") / 2).cast("int") - 1), lambda i: F.substring(F.col("h"), i * 2 + 1, F.lit(2)) != "00")
+    return files.filter(F.length("h") > 0).select("stream_id", F.posexplode(flags).alias("frame", "voiced")).withColumn("frame", F.col("frame").cast("bigint"))
+
+
+def at_frames(frames: DataFrame, flags: DataFrame) -> DataFrame:
+    """Frames (stream_id, frame) with their flags by position; the shorter side ends both."""
+    return frames.join(flags.select("stream_id", "frame", "voiced"), ["stream_id", "frame"])

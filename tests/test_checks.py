@@ -1,4 +1,5 @@
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palaver.operators import checks, devices, windows
 from palaver.operators import vectors as V
-from palaver.sources import writers
+from palaver.functions import text as T
+from palaver.sources import readers, writers
 from palaver.streaming import diarizer, folds, run
 
 
@@ -103,3 +105,36 @@ def test_end_of_a_stream(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
     last = run.with_last(events, events, ["us", "event_id"]).groupBy("session_id").agg(F.count_if("last").alias("n"), F.max(F.struct("us", "event_id")).alias("m"), F.max(F.when(F.col("last"), F.struct("us", "event_id"))).alias("l"))
     assert last.filter("n <> 1 OR m <> l").count() == 0
+
+
+def test_embedding_files(spark, tmp_path):
+    times, vectors = [(0.0, 1.5), (0.75, 2.25)], [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
+    data = readers.pack_embeddings(times, vectors)
+    assert data[:12] == b"DZEM" + struct.pack("<II", 3, 2) and len(data) == 12 + 4 * 2 * 5
+    (tmp_path / "good.emb").write_bytes(data)
+    (tmp_path / "short.emb").write_bytes(data[:-1])
+    (tmp_path / "none.emb").write_bytes(b"RIFF" + bytes(20))
+    rows = readers.read_embeddings(spark, str(tmp_path)).collect()
+    assert sorted((r["ord"], r["t0"], r["t1"], tuple(r["vector"])) for r in rows if r["error"] is None) == [(0, 0.0, 1.5, (1, 2, 3)), (1, 0.75, 2.25, (4, 5, 6))]
+    assert {r["stream_id"] for r in rows if r["error"]} == {"short", "none"}
+    with pytest.raises(ValueError):
+        readers.pack_embeddings(times, [[1.0], [1.0, 2.0]])
+
+
+def test_flags_and_cache(spark, tmp_path):
+    (tmp_path / "m.vad").write_bytes(b"\0\1\1\0\7")
+    flags = readers.read_flags(spark, f"{tmp_path}/m.vad")
+    assert [(r["frame"], r["voiced"]) for r in flags.orderBy("frame").collect()] == [(0, False), (1, True), (2, True), (3, False), (4, True)]
+    frames = spark.range(9).select(F.lit("m").alias("stream_id"), F.col("id").alias("frame"))
+    assert readers.at_frames(frames, flags).count() == 5
+    made = []
+    build = lambda: made.append(1) or spark.range(3).toDF("x")
+    for _ in range(2):
+        assert readers.cached(build, spark, f"{tmp_path}/kept", "v1").count() == 3
+    assert made == [1] and os.listdir(tmp_path / "kept") == ["v1"]
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("ES2002a.Mix-Headset.wav", "/m/eres2net.onnx")], "wav string, model string")
+    r = df.select(T.resolved(F.col("wav"), "/p/audio"), T.resolved(F.col("model"), "/p"), T.cache_path(F.col("wav"), F.col("model"), 1.5, 0.75, "/p", 2), T.path_key(F.col("wav"))).first()
+    assert r[0] == "/p/audio/ES2002a.Mix-Headset.wav" and r[1] == "/m/eres2net.onnx" and r[2] == f"/p/cache/ES2002a.Mix-Headset-{r[3]}.eres2net.w1500h750.v2.emb"
