@@ -228,7 +228,7 @@ def passes(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: i
         copies = some.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(n_turns - 1))))
         n_tasks = take * n_turns
         met = copies.repartition(n_tasks, "block", "turn").join(wanted.repartition(n_tasks, "block", "turn"), ["block", "turn"])
-        found = common.materialize(met.select("block", "top", "ids", "vectors", "values", "order", "query_ids", "query_vectors", "bounds").mapInArrow(run, result), f"found{number}")
+        found = common.materialize(met.select("block", "top", "ids", "vectors", "values", "order", "query_ids", "query_vectors", "bounds").transform(common.in_batches).mapInArrow(run, result), f"found{number}")
         verified += found.filter("score IS NULL").agg(F.sum("vec_id")).first()[0] or 0
         old = best
         both = old.select("query_id", "vec_id", "score").unionByName(found.filter("score IS NOT NULL"))

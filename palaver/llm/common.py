@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -85,6 +86,20 @@ def drop(*made: DataFrame) -> None:
             place.delete(at, True)
 
 
+#: Rows and bytes in an Arrow batch at most: what a Python worker and its executor hold of long texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches are bounded by ``BATCHES``; smaller settings stay."""
+    for key, most in BATCHES.items():
+        told = re.fullmatch(r"(\d+)([bkmg]?)b?", df.sparkSession.conf.get(key).lower())
+        now = int(told[1]) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[told[2]] if told else 0
+        if not 0 < now <= most:
+            df.sparkSession.conf.set(key, str(most))
+    return df
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1 and so on: names may clash with others, places can't."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -285,7 +285,7 @@ def write(df: DataFrame, id_col: str, data_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([file_of(pad(x)) for x in data], pa.binary())], ["id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[data_col].cast("binary").alias("data")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[data_col].cast("binary").alias("data")).transform(common.in_batches).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 KEYFRAMES = "array<struct<offset: bigint, length: bigint, seconds: double>>"
@@ -321,7 +321,7 @@ def probe(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, track int, codec string, duration double, n_samples long, keyframes {KEYFRAMES}, error string"
-    return df.select(df[id_col].alias("id"), df[media_col].alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[media_col].alias("media")).transform(common.in_batches).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
@@ -345,7 +345,7 @@ def digests(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, keyframes {KEYFRAMES}"
-    return df.select(df[id_col].alias("id"), df["n_bytes"], df[media_col].alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df["n_bytes"], df[media_col].alias("media")).transform(common.in_batches).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:

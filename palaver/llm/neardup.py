@@ -84,7 +84,7 @@ def sketches(df: DataFrame, shingle: int = SHINGLE, size: int = SKETCH) -> DataF
                 digests = [_digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s[:size] for s in sets], kept)], ["doc", "row", "n", "digest", "sketch"])
 
-    return df.mapInArrow(run, "doc long, row long, n long, digest binary, sketch array<bigint>")
+    return df.transform(common.in_batches).mapInArrow(run, "doc long, row long, n long, digest binary, sketch array<bigint>")
 
 
 def _digest(items: np.ndarray) -> bytes:
@@ -101,7 +101,7 @@ def full_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 rows = [(id_, s) for id_, data, digest in zip(*(c.to_pylist() for c in part.columns), strict=True) if _digest(s := shingles(data or b"", shingle)) == digest]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kept)], ["id", "items"])
 
-    return df.select("id", "data", "digest").mapInArrow(run, "id long, items array<bigint>").dropDuplicates(["id"])
+    return df.select("id", "data", "digest").transform(common.in_batches).mapInArrow(run, "id long, items array<bigint>").dropDuplicates(["id"])
 
 
 def shared_values(size: int, chance: float, least: int = LEAST, parts: int = PARTS) -> int:
@@ -227,13 +227,14 @@ def components(links: DataFrame) -> DataFrame:
         old = edges
         # large star: larger neighbours go to the smallest of neighbours and self
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        low = common.materialize(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "low")  # as a table, so that the join can split a large star
+        large = low
         edges = both.filter("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         # small star: smaller neighbours and self go to the smallest neighbour
         low = edges.groupBy("x").agg(F.min("y").alias("m"))
         edges = edges.join(low, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct(F.col("x"), F.col("m").alias("y")))).alias("e")).select("e.*").filter("x <> y").distinct()
         edges = common.materialize(edges, f"stars{n}")
-        common.drop(old)
+        common.drop(old, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("x", "y").cast("long")), F.count_distinct("x")).first()
         if now == before and now[0] == now[2]:  # one edge to each document, and the same as before
             return common.holding(edges.select(F.col("x").alias("id"), F.col("y").alias("component")), edges)

@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
                     c[2 * (h % 2) + 1] += y
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in range(4))], ["f", "n0", "y0", "n1", "y1"])
 
-    seen = told.select("h", "text", "y").mapInArrow(count, "f string, n0 long, y0 long, n1 long, y1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n0", "y0", "n1", "y1")))
+    seen = told.select("h", "text", "y").transform(common.in_batches).mapInArrow(count, "f string, n0 long, y0 long, n1 long, y1 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n0", "y0", "n1", "y1")))
     # the others are not among the first TERMS that are pure enough, or are too rare
     share = (F.col("n0") + F.col("n1")) / float(n[:, 0].sum() + 1)
     clean, toxic = float(max(1, n[:, 0].sum() - n[:, 1].sum())), float(max(1, n[:, 1].sum()))
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             got = [_of_terms(t, at) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([g[i] for g in got], pa.list_(pa.int32())) for i in (0, 1))], ["h", "y", "at", "x"])
 
-    rows = told.select("h", "text", "y").mapInArrow(pick, "h long, y int, at array<int>, x array<int>").toPandas().sort_values("h")
+    rows = told.select("h", "text", "y").transform(common.in_batches).mapInArrow(pick, "h long, y int, at array<int>, x array<int>").toPandas().sort_values("h")
     model = fit_counts(counts, [(h % 2, y, list(a), list(x)) for h, y, a, x in rows.itertuples(index=False)])
     common.drop(told)
     return model
@@ -249,7 +249,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, expected_severity double, score double, grade int, toxic int").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).transform(common.in_batches).mapInArrow(run, f"id {kind}, expected_severity double, score double, grade int, toxic int").withColumnRenamed("id", id_col)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
             if out is not None:
                 out.close()
 
-    index = common.materialize(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, INDEX), "index")
+    index = common.materialize(rows.select("page_id", "url", "payload", "refers_to").transform(common.in_batches).mapInArrow(run, INDEX), "index")
     common.drop(revisits)
     return index
 
@@ -188,7 +188,7 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
         for f in opened.values():
             f.close()
 
-    return picked.mapInArrow(run, READ)
+    return picked.transform(common.in_batches).mapInArrow(run, READ)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
