@@ -112,18 +112,19 @@ def gap_tally(decisions: DataFrame, thresholds: list[float], most_restarts: int
     return decisions.agg(*sums).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def hop_decisions(hops_: DataFrame) -> DataFrame:
+def hop_decisions(hops_: DataFrame, order_by: str = "chunk") -> DataFrame:
     """Each hop (recording, chunk, vector, label, restarts since the hop before it) against the one before:
-    cos, before, after, restarts, before_chunk, after_chunk. The first of a recording has nothing before it."""
-    order = Window.partitionBy("recording").orderBy("chunk")
+    cos, before, after, restarts, before_chunk, after_chunk. The first of a recording has nothing before it.
+    Where hops of a recording share a chunk, ``order_by`` has to name a column that tells them apart."""
+    order = Window.partitionBy("recording").orderBy(order_by)
     lag = lambda c: F.lag(c).over(order)
     out = hops_.select("recording", V.cosine(F.col("vector"), lag("vector")).alias("cos"), lag("label").alias("before"), F.col("label").alias("after"), "restarts", lag("chunk").alias("before_chunk"), F.col("chunk").alias("after_chunk"))
     return out.filter("before_chunk IS NOT NULL")
 
 
-def gap_decisions(hops_: DataFrame) -> DataFrame:
+def gap_decisions(hops_: DataFrame, order_by: str = "chunk") -> DataFrame:
     """Of :func:`hop_decisions` those over at least one silence."""
-    return hop_decisions(hops_).filter("restarts > 0")
+    return hop_decisions(hops_, order_by).filter("restarts > 0")
 
 
 def worst_crossings(decisions: DataFrame, most: int = 5) -> DataFrame:
