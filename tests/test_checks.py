@@ -162,3 +162,7 @@ def agrees(spark, backwards, name):
 def test_gap_decisions_in_any_order(spark, backwards):
     """Hops that share a chunk go by their ids, however the rows arrive."""
     assert agrees(spark, backwards, "gap_decisions")
+
+
+def test_gap_bridged_in_any_order(spark, backwards):
+    assert agrees(spark, backwards, "gap_bridged")
