@@ -128,9 +128,10 @@ def gap_decisions(hops_: DataFrame, order_by: str = "chunk") -> DataFrame:
 
 
 def worst_crossings(decisions: DataFrame, most: int = 5) -> DataFrame:
-    """Per recording the ``most`` real changes of speaker that sound most alike; ``rank`` from 1."""
+    """Per recording the ``most`` real changes of speaker that sound most alike, equal ones in order of their
+    hops; ``rank`` from 1."""
     real = decisions.filter(F.col("before") != F.col("after"))  # both are known
-    rank = F.row_number().over(Window.partitionBy("recording").orderBy(F.desc("cos"), "after_chunk"))
+    rank = F.row_number().over(Window.partitionBy("recording").orderBy(F.desc("cos"), "after_chunk", "before_chunk"))
     return real.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 

@@ -166,3 +166,14 @@ def test_gap_decisions_in_any_order(spark, backwards):
 
 def test_gap_bridged_in_any_order(spark, backwards):
     assert agrees(spark, backwards, "gap_bridged")
+
+
+def test_worst_crossings_in_any_order(spark, backwards):
+    assert agrees(spark, backwards, "worst_crossings")
+
+
+def test_equal_crossings_go_by_their_hops(spark):
+    rows = [("r", 0.5, 1, 2, 6, 6), ("r", 0.5, 2, 1, 3, 6), ("r", 0.5, 1, 2, 1, 3), ("r", 0.4, 1, 1, 0, 1)]
+    for order in (1, -1):
+        made = spark.createDataFrame(rows[::order], "recording string, cos double, before int, after int, before_chunk long, after_chunk long").coalesce(1)
+        assert [(r["before_chunk"], r["after_chunk"]) for r in V.worst_crossings(made).orderBy("rank").collect()] == [(1, 3), (3, 6), (6, 6)]
