@@ -121,7 +121,10 @@ def relabel(segments: DataFrame, corrections: DataFrame, bucket: int = 64) -> Da
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """Snapshots of a session's recordings (ord, recording, error, transcript, changes) folded into one."""
-    in_order = lambda c: F.array_sort(F.collect_list(F.struct("ord", F.col(c).alias("v"))))
-    first = lambda c: F.get(F.filter(in_order(c), lambda x: x["v"].isNotNull()), F.lit(0))["v"]
-    return states.groupBy("session_id").agg(F.bool_or("recording").alias("recording"), first("error").alias("error"), F.sum("changes").alias("changes"), F.array_join(F.transform(F.filter(in_order("transcript"), lambda x: x["v"] != ""), lambda x: x["v"]), "\n").alias("transcript"))
+    """Snapshots of a session's recordings (ord, recording, error, transcript, changes) folded into one.
+
+    ``ord`` may be a struct, and has to be one where a single value leaves snapshots of a session equal.
+    """
+    error = F.min(F.when(F.col("error").isNotNull(), F.struct("ord", F.col("error").alias("v"))))["v"]
+    texts = F.array_sort(F.collect_list(F.when(F.col("transcript") != "", F.struct("ord", F.col("transcript").alias("v")))))
+    return states.groupBy("session_id").agg(F.bool_or("recording").alias("recording"), error.alias("error"), F.sum("changes").alias("changes"), F.array_join(F.transform(texts, lambda x: x["v"]), "\n").alias("transcript"))

@@ -127,7 +127,7 @@ FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS session_id, epoch_us(ts) AS us FROM
 def merge_states(spark, sf_dir):
     events = A.table(spark, sf_dir, "events")
     states = events.select(
-        F.date_format("ts", "yyyy-MM-dd").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ord"), (F.col("event_type") == "click").alias("recording"),
+        F.date_format("ts", "yyyy-MM-dd").alias("session_id"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "event_id").alias("ord"), (F.col("event_type") == "click").alias("recording"),
         F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("transcript"), F.col("user_id").alias("changes"),
     )
-    return O.merge_states(states)
+    return O.merge_states(states).withColumn("transcript", F.nullif("transcript", F.lit("")))  # SQL joins no text to null

@@ -1,8 +1,10 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from palaver import schemas
 from palaver.functions import text as T
 from palaver.operators import transcript as O
+from palaver.plans.catalog import ORACLES, QUERIES
 
 
 def segs(spark, *rows):
@@ -83,3 +85,13 @@ def test_by_source_skips_the_silent(spark):
     rows = segs(spark, (0, "a", "Mic", 1), (1, " ", "Sys", None), (2, "b", None, None))
     got = [(r["ord"], r["source"], r["path"]) for r in O.by_source(rows, F.lit("/x/n.txt")).orderBy("ord").collect()]
     assert got == [(1, "Mic", "/x/n-mic.txt"), (2, "transcript", "/x/n-transcript.txt")]
+
+
+def test_merge_states_at_one_time(spark, tmp_path):
+    """Events of one microsecond go by their ids; a session without text has none."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_days(CAST(i // 30 AS INTEGER)) AS ts, i AS user_id, CASE WHEN i >= 60 THEN 'view' ELSE ['view', 'signup', 'click', 'purchase', 'error'][i * 7 % 5 + 1] END AS event_type FROM range(70) t(i)")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = c.execute(f"SELECT session_id, recording, error, CAST(changes AS BIGINT), transcript FROM ({ORACLES['merge_states']}) ORDER BY 1").fetchall()
+    got = QUERIES["merge_states"](spark, str(tmp_path)).select("session_id", "recording", "error", "changes", "transcript").orderBy("session_id").collect()
+    assert [tuple(r) for r in got] == want and want[2][4] is None
