@@ -84,7 +84,7 @@ def sketches(df: DataFrame, shingle: int = SHINGLE, size: int = SKETCH) -> DataF
                 digests = [_digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([s[:size] for s in sets], kept)], ["doc", "row", "n", "digest", "sketch"])
 
-    return df.transform(common.in_batches).mapInArrow(run, "doc long, row long, n long, digest binary, sketch array<bigint>")
+    return df.transform(common.in_batches).mapInArrow(common.lean(run), "doc long, row long, n long, digest binary, sketch array<bigint>")
 
 
 def _digest(items: np.ndarray) -> bytes:
@@ -101,7 +101,7 @@ def full_sets(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 rows = [(id_, s) for id_, data, digest in zip(*(c.to_pylist() for c in part.columns), strict=True) if _digest(s := shingles(data or b"", shingle)) == digest]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kept)], ["id", "items"])
 
-    return df.select("id", "data", "digest").transform(common.in_batches).mapInArrow(run, "id long, items array<bigint>").dropDuplicates(["id"])
+    return df.select("id", "data", "digest").transform(common.in_batches).mapInArrow(common.lean(run), "id long, items array<bigint>").dropDuplicates(["id"])
 
 
 def shared_values(size: int, chance: float, least: int = LEAST, parts: int = PARTS) -> int:

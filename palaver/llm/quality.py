@@ -73,7 +73,7 @@ def _by_place(df: DataFrame, text_col: str) -> DataFrame:
                 rows = np.array([statistics(x or b"") for x in part.column(at).cast(pa.binary()).to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(rows[:, i]) for i in range(rows.shape[1]))], [*part.schema.names, *("q_" + s for s in STATISTICS)])
 
-    return plain.transform(common.in_batches).mapInArrow(run, schema)
+    return plain.transform(common.in_batches).mapInArrow(common.lean(run), schema)
 
 
 def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:

@@ -249,6 +249,7 @@ def _model(spark, path: str | None):
 
 
 _codecs: dict[int, Codec] = {}
+common.KEPT["spm"] = _codecs
 
 
 def _codec(blob: bytes) -> Codec:
@@ -288,7 +289,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n_tokens", "ids", "begins", "ends", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(common.in_batches).mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(common.in_batches).mapInArrow(common.lean(run, "spm"), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -309,7 +310,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string()), pa.array(covered, pa.int64())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(common.in_batches).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(common.in_batches).mapInArrow(common.lean(run, "spm"), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long").withColumnRenamed("id", id_col)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -129,3 +130,19 @@ def test_mix_chances():
             total += p
         assert np.abs(total / 3000 - f).max() < 4.5 * np.sqrt(f * (1 - f) / 3000)
     assert mixing.pivot_together(0.0, np.array([3, 1]), rng.random(2))[0].tolist() == [0, 0] and mixing.pivot_together(0.4, np.array([0, 0]), rng.random(2))[1] == -1
+
+
+def test_workers_are_lean(spark, docs, small):
+    """Batches are small, and a stage holds no tables of the one before it."""
+    from palaver.llm import common, spm
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([len(spm._codecs)])], ["n", "kept"])
+
+    assert corpus_pipeline.encode(spark, docs.coalesce(1), small).count() == docs.count()
+    rows = spark.range(0, 3000, 1, 1)
+    before = rows.transform(common.in_batches).mapInArrow(common.lean(kept, "spm"), "n long, kept long").collect()
+    after = rows.transform(common.in_batches).mapInArrow(common.lean(kept), "n long, kept long").collect()
+    assert sum(r["n"] for r in after) == 3000 and max(r["n"] for r in after) <= 250
+    assert {r["kept"] for r in after} == {0} and len(before) == len(after)
